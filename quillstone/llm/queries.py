@@ -9,14 +9,32 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import simhash
+from quillstone.llm import linededup, simhash
 from quillstone.llm.common import table
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with what is left of its text, and how much went."""
+    found = linededup.runs(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    gone = F.aggregate("runs", F.lit(0), lambda n, x: n + x["e"] - x["s"] + 1)
+    words = F.aggregate("runs", F.lit(0), lambda n, x: n + x["words"])
+    left = F.when(F.size("runs") > 0, linededup.kept_text(F.col("lines"), F.col("runs"))).otherwise(F.col("text"))
+    return found.select(
+        "doc_id",
+        F.size("lines").alias("n_lines"),
+        gone.alias("lines_removed"),
+        words.alias("words_removed"),
+        left.alias("text"),
+    )
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.groups(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-QUERIES = {"op7_simhash": op7_simhash}
+QUERIES = {
+    "op6_line_dedup": op6_line_dedup,
+    "op7_simhash": op7_simhash,
+}
 ORACLE: dict[str, str] = {}
