@@ -9,10 +9,15 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import linededup, simhash
+from quillstone.llm import decontaminate, linededup, simhash
 from quillstone.llm.common import table
 
 
+def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The best passage of each document and benchmark item within 20 % word edits."""
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with what is left of its text, and how much went."""
     found = linededup.runs(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -34,6 +39,7 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_decontaminate": op2_decontaminate,
     "op6_line_dedup": op6_line_dedup,
     "op7_simhash": op7_simhash,
 }
