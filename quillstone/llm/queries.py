@@ -9,10 +9,17 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import decontaminate, linededup, simhash
+from quillstone.llm import decontaminate, linededup, quality, simhash, toxicity
 from quillstone.llm.common import table
 
 
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Expected severity (0 to 3) of every document, learnt from labels.toxic."""
+    docs = table(spark, sf_dir, "documents")
+    found = toxicity.score(docs, toxicity.train(docs, table(spark, sf_dir, "labels")))
+    return found.withColumn("toxic", F.col("p_toxic") >= toxicity.LEAST)
+
+
 def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The best passage of each document and benchmark item within 20 % word edits."""
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -23,14 +30,7 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = linededup.runs(table(spark, sf_dir, "documents").select("doc_id", "text"))
     gone = F.aggregate("runs", F.lit(0), lambda n, x: n + x["e"] - x["s"] + 1)
     words = F.aggregate("runs", F.lit(0), lambda n, x: n + x["words"])
-    left = F.when(F.size("runs") > 0, linededup.kept_text(F.col("lines"), F.col("runs"))).otherwise(F.col("text"))
-    return found.select(
-        "doc_id",
-        F.size("lines").alias("n_lines"),
-        gone.alias("lines_removed"),
-        words.alias("words_removed"),
-        left.alias("text"),
-    )
+    return found.select("doc_id", gone.alias("lines_removed"), words.alias("words_removed"), F.col("left").alias("text"))
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,9 +38,16 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
+
+
 QUERIES = {
+    "op1_toxicity": op1_toxicity,
     "op2_decontaminate": op2_decontaminate,
     "op6_line_dedup": op6_line_dedup,
     "op7_simhash": op7_simhash,
+    "op10_quality": op10_quality,
 }
 ORACLE: dict[str, str] = {}
