@@ -23,13 +23,20 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quillstone.llm.common import cut
+
 MARK = "\x01"
 
 
 def _lines(text: Column) -> Column:
     """The lines of a text; joined, they are the text (but for the marks, which are dropped)."""
-    clean = F.translate(F.coalesce(text, F.lit("")), MARK, "")
-    return F.split(F.regexp_replace(clean, r"(\n|[.!?。] | (?=\p{Lu}))", f"$1{MARK}"), MARK)
+    clean = F.replace(F.coalesce(text, F.lit("")), F.lit(MARK), F.lit(""))
+    return F.split(F.regexp_replace(clean, r"[\n ](?:(?<=\n|[.!?。] )|(?=\p{Lu}))", f"$0{MARK}"), MARK)
+
+
+def _let(value: Column, body) -> Column:
+    """body(value), with value worked out once however often body uses it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def _values(lines: Column, short: int) -> Column:
@@ -76,10 +83,11 @@ def _merged(spans: Column) -> Column:
 
 
 def runs(docs: DataFrame, *, window: int = 4, reach: int = 4, short: int = 24, min_words: int = 20) -> DataFrame:
-    """docs with `lines` and `runs`: array of (s, e, words), line numbers from 0 of what is repeated."""
+    """docs with `runs`, array of (s, e, words): line numbers from 0 of what is repeated; and `left`, the rest of the text."""
     if reach < window:
         raise ValueError("reach must be at least window, or matches leave gaps")
     values = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("doc"), _values(_lines(F.col("text")), short).alias("v"))
+    values = cut(values)  # 8 bytes a line; the texts are then cut into lines once, not for each use
     marks = values.select("doc", "v", F.explode(_winners(F.col("v"), window)).alias("at"))
     # One decimal of doc and position has a hash aggregate; a struct would be sorted.
     place = (F.col("doc").cast("decimal(20,0)") * F.lit(10**10).cast("decimal(11,0)") + F.col("at")).cast("decimal(32,0)")
@@ -91,31 +99,38 @@ def runs(docs: DataFrame, *, window: int = 4, reach: int = 4, short: int = 24, m
     # The lines around each first occurrence, nearest first.
     left = F.reverse(F.slice(v, F.greatest(F.lit(1), at - reach + 1), F.least(at, F.lit(reach))))
     around = first.join(values, "doc").select("h", F.col("place").alias("first"), left.alias("l"), F.slice(v, at + 2, F.lit(reach)).alias("r"))
-    later = marks.join(around, "h").filter("place > first")
-    later = later.groupBy("doc").agg(F.collect_list(F.struct("at", "h", "l", "r")).alias("hits"))
+    later = marks.drop("place").join(around, "h")
+    place = (F.col("doc").cast("decimal(20,0)") * F.lit(10**10).cast("decimal(11,0)") + F.col("at")).cast("decimal(32,0)")
+    later = later.filter(place > F.col("first")).groupBy("doc").agg(F.collect_list(F.struct("at", "h", "l", "r")).alias("hits"))
 
-    found = docs.join(later.withColumnRenamed("doc", "__doc"), F.col("doc_id") == F.col("__doc"), "left").drop("__doc")
-    found = found.withColumn("lines", _lines(F.col("text")))
-    found = found.withColumn("__v", F.when(F.col("hits").isNotNull(), _values(F.col("lines"), short)))
-    mine, lines = F.col("__v"), F.col("lines")
+    def found(lines: Column) -> Column:
+        return _let(_repeated(F.col("hits"), lines, _values(lines, short), reach, min_words), lambda r: F.struct(r.alias("runs"), F.when(F.size(r) > 0, kept_text(lines, r)).alias("left")))
 
-    def span(hit: Column) -> Column:
-        p = hit["at"]
-        s = p - _same(mine, hit["l"], lambda k: p - 1 - k, reach)
-        e = p + _same(mine, hit["r"], lambda k: p + 1 + k, reach)
-        return F.struct(s.cast("int").alias("s"), e.cast("int").alias("e"))
+    joined = docs.join(later.withColumnRenamed("doc", "__doc"), F.col("doc_id") == F.col("__doc"), "left").drop("__doc")
+    joined = joined.withColumn("hits", F.when(F.col("hits").isNotNull(), _let(_lines(F.col("text")), found)))
+    none = F.array().cast("array<struct<s:int,e:int,words:int>>")
+    return joined.withColumns({"runs": F.coalesce("hits.runs", none), "left": F.coalesce("hits.left", "text")}).drop("hits")
 
-    true = F.filter(F.col("hits"), lambda hit: F.get(mine, hit["at"]) == hit["h"])
-    merged = _merged(F.array_distinct(F.transform(true, span)))
+
+def _repeated(hits: Column, lines: Column, values: Column, reach: int, min_words: int) -> Column:
+    """The runs of a document, from its matches with first occurrences."""
+
+    def spans(mine: Column) -> Column:
+        def span(hit: Column) -> Column:
+            p = hit["at"]
+            s = p - _same(mine, hit["l"], lambda k: p - 1 - k, reach)
+            e = p + _same(mine, hit["r"], lambda k: p + 1 + k, reach)
+            return F.struct(s.cast("int").alias("s"), e.cast("int").alias("e"))
+
+        return F.transform(F.filter(hits, lambda hit: F.get(mine, hit["at"]) == hit["h"]), span)
 
     def counted(x: Column) -> Column:
         body = F.array_join(F.slice(lines, x["s"] + 1, x["e"] - x["s"] + 1), "")
         words = F.size(F.filter(F.split(body, r"\s+"), lambda w: w != ""))
         return F.struct(x["s"].alias("s"), x["e"].alias("e"), words.alias("words"))
 
-    long = F.filter(F.transform(merged, counted), lambda x: x["words"] >= min_words)
-    none = F.array().cast("array<struct<s:int,e:int,words:int>>")
-    return found.withColumn("runs", F.coalesce(long, none)).drop("hits", "__v")
+    merged = _merged(F.array_distinct(_let(values, spans)))
+    return F.filter(F.transform(merged, counted), lambda x: x["words"] >= min_words)
 
 
 def kept_text(lines: Column, runs: Column) -> Column:
@@ -132,11 +147,9 @@ def kept_text(lines: Column, runs: Column) -> Column:
 def dedup(docs: DataFrame, **how) -> DataFrame:
     """docs with later repeated runs of lines deleted from text; n_chars, if there, follows."""
     own = docs.columns
-    renamed = {c: f"__own_{c}" for c in ("lines", "runs", "hits") if c in own}
+    renamed = {c: f"__own_{c}" for c in ("left", "runs", "hits") if c in own}
     found = runs(docs.withColumnsRenamed(renamed), **how)
-    changed = F.size("runs") > 0
-    text = F.when(changed, kept_text(F.col("lines"), F.col("runs"))).otherwise(F.col("text"))
-    found = found.withColumn("text", text)
     if "n_chars" in own:
-        found = found.withColumn("n_chars", F.when(changed, F.length("text").cast("long")).otherwise(F.col("n_chars")))
-    return found.select(*[F.col(renamed.get(c, c)).alias(c) for c in own])
+        n = F.when(F.size("runs") > 0, F.length("left").cast("long")).otherwise(F.col("n_chars"))
+        found = found.withColumn("n_chars", n)
+    return found.withColumn("text", F.col("left")).select(*[F.col(renamed.get(c, c)).alias(c) for c in own])

@@ -4,7 +4,7 @@ import pytest
 from quillstone.llm import linededup
 from pyspark.sql import functions as F
 
-SCHEMA = "doc_id long, text string, n_chars long, lines string, runs int"
+SCHEMA = "doc_id long, text string, n_chars long, left string, runs int"
 
 
 def frame(spark, texts):
@@ -87,7 +87,7 @@ def test_defined_results(spark):
     run = "\n".join(sentence(rng) for _ in range(9))
     rows = [(None, run), (None, run), (1, run), (2, None), (3, ""), (4, run), (4, run), (5, "\n" * 50), (6, "x" * 200_000)]
     frame_ = frame(spark, rows)
-    got = sorted(((r.doc_id or 0, r.text, r.n_chars, r.lines, r.runs) for r in linededup.dedup(frame_).collect()), key=str)
+    got = sorted(((r.doc_id or 0, r.text, r.n_chars, r.left, r.runs) for r in linededup.dedup(frame_).collect()), key=str)
     want = [(0, run), (0, run), (1, run), (2, None), (3, ""), (4, ""), (4, ""), (5, "\n" * 50), (6, "x" * 200_000)]
     assert got == sorted(((i, t, len(t or ""), "clash", 1) for i, t in want), key=str)
     with pytest.raises(ValueError):
