@@ -4,8 +4,10 @@ A document is contaminated by an item if some passage of it is within
 floor(max_edits * n) word edits of the item's n words (lower-cased, split at white
 space). Passages may start at any word.
 
-1. Of n words around a match at least n - k are words of the benchmark, so only
-   windows of n words that hold as many are looked at. This loses nothing.
+1. Of n words around a match at least n - k are words of the item, each at most as
+   often as in it. Only windows of n words that hold as many words of the items of
+   this size, and then as many if repeats beyond any item's are left out, are looked
+   at. This loses nothing.
 2. The CGK random walk turns a window into a string of 3 n symbols: at step j it
    writes the symbol it stands on and moves on by a random bit of (j, symbol), so
    edit distance becomes Hamming distance, mostly of the same order.
@@ -41,17 +43,40 @@ BLOCK = 5_000
 SCHEMA = "doc_id long, item_id long, edits int, first_word int, last_word int"
 
 
+def ends(item: list, text: list, *, anchored: bool = False) -> list[int]:
+    """Edit distance of item to the nearest passage that ends before each place 1, 2, ... of text.
+
+    Myers' bit vectors. With anchored, the passage starts where the text does.
+    """
+    bits: dict = defaultdict(int)
+    for i, x in enumerate(item):
+        bits[x] |= 1 << i
+    get, mask, top = bits.get, (1 << len(item)) - 1, 1 << (len(item) - 1)
+    up, down, edits, found = mask, 0, len(item), []
+    for y in text:
+        same = get(y, 0)
+        x = (((same & up) + up) ^ up) | same
+        more, less = down | ~(x | up), up & x
+        if more & top:
+            edits += 1
+        elif less & top:
+            edits -= 1
+        more, less = more << 1 | anchored, less << 1
+        x = same | down
+        up, down = (less | ~(x | more)) & mask, more & x & mask
+        found.append(edits)
+    return found
+
+
 def nearest(item: list, text: list) -> tuple[int, int, int]:
     """(edits, start, end) of the passage of text nearest to item; end is exclusive."""
-    below = [(0, j) for j in range(len(text) + 1)]
-    for i, x in enumerate(item, 1):
-        row = [(i, 0)]
-        for j, y in enumerate(text, 1):
-            cost, at = below[j - 1]
-            row.append(min((cost + (x != y), at), (below[j][0] + 1, below[j][1]), (row[-1][0] + 1, row[-1][1])))
-        below = row
-    edits, end = min((cell[0], j) for j, cell in enumerate(below))
-    return edits, below[end][1], end
+    found = ends(item, text)
+    edits = min(found, default=len(item))
+    if edits >= len(item):
+        return len(item), 0, 0
+    end = found.index(edits) + 1
+    back = ends(item[::-1], text[end - 1 :: -1], anchored=True)
+    return edits, end - back.index(edits) - 1, end
 
 
 class Index:
@@ -86,7 +111,11 @@ class Index:
                 for m, key in zip(members, self.keys(rows, starts, n, t, read[t]).tolist(), strict=True):
                     table[key].append(m)
                 tables.append((np.array(sorted(table), dtype=np.int64), dict(table)))
-            self.sizes[n] = (int(max_edits * n), read, tables)
+            most = np.zeros(other + 1, dtype=np.int32)
+            for m in members:
+                word, times = np.unique(self.items[m][1], return_counts=True)
+                most[word] = np.maximum(most[word], times)
+            self.sizes[n] = (int(max_edits * n), read, tables, most)
 
     def bit(self, t: int, j: int, symbol: np.ndarray) -> np.ndarray:
         if self.steps:
@@ -109,6 +138,23 @@ class Index:
                 at = np.minimum(at + self.bit(t, j, symbol), end)
         return key
 
+    @staticmethod
+    def windows(ids: np.ndarray, n: int, k: int, most: np.ndarray) -> np.ndarray:
+        """Starts of the windows of n words that could be within k edits of an item, given how often each word may count."""
+        known = np.concatenate(([0], np.cumsum((most > 0)[ids], dtype=np.int32)))
+        starts = np.flatnonzero(known[n:] - known[:-n] >= n - k)
+        kept = []
+        for at in range(0, len(starts), 20_000):
+            part = starts[at : at + 20_000]
+            words = np.sort(ids[part[:, None] + np.arange(n)], axis=1)
+            # Of sorted words, one counts unless the word stands `most` places before it too.
+            times = most[words]
+            before = np.arange(n) - times
+            again = np.take_along_axis(words, np.maximum(before, 0), axis=1) == words
+            counts = (times > 0) & ~(again & (before >= 0))
+            kept.append(part[counts.sum(axis=1) >= n - k])
+        return np.concatenate(kept) if kept else starts
+
     def search(self, texts: list[str | None]) -> list[tuple[int, int, int, int, int]]:
         """(number of the text, item_id, edits, first and last word) of all matches."""
         get, other = self.words.get, self.other
@@ -123,10 +169,9 @@ class Index:
         ids = np.full(int(offset[-1]), other, dtype=np.int32)
         for i, x in enumerate(split):
             ids[offset[i] : offset[i] + len(x)] = [get(w, other) for w in x]
-        known = np.concatenate(([0], np.cumsum(ids != other, dtype=np.int32)))
         pairs = set()
-        for n, (k, read, tables) in self.sizes.items():
-            starts = np.flatnonzero(known[n:] - known[:-n] >= n - k)
+        for n, (k, read, tables, most) in self.sizes.items():
+            starts = self.windows(ids, n, k, most)
             if not len(starts):
                 continue
             for t in range(self.repeats):
@@ -135,20 +180,28 @@ class Index:
                 where = np.minimum(np.searchsorted(there, keys), len(there) - 1)
                 for i in np.flatnonzero(there[where] == keys).tolist():
                     pairs.update((m, int(starts[i])) for m in table[int(keys[i])])
-        best: dict[tuple[int, int], tuple[int, int, int]] = {}
+        # Candidates whose surroundings overlap are checked as one stretch of text.
+        stretches: dict[tuple[int, int], list[list[int]]] = defaultdict(list)
         for m, start in sorted(pairs):
-            item_id, item = self.items[m]
-            n, k = len(item), int(self.max_edits * len(item))
+            n = len(self.items[m][1])
+            k = int(self.max_edits * n)
             text = int(np.searchsorted(offset, start, "right")) - 1
             low = max(int(offset[text]), start - 2 * k)
             high = min(int(offset[text]) + len(split[text]), start + n + 2 * k)
-            if (text, m) in best and best[text, m][0] == 0:
-                continue
-            edits, s, e = nearest(item, ids[low:high].tolist())
-            if edits <= k and e > s:
-                shift = low - int(offset[text])
-                best[text, m] = min(best.get((text, m), (n, 0, 0)), (edits, s + shift, e + shift - 1))
-        return [(text, self.items[m][0], *x) for (text, m), x in sorted(best.items())]
+            own = stretches[text, m]
+            if own and low <= own[-1][1]:
+                own[-1][1] = max(own[-1][1], high)
+            elif low < high:
+                own.append([low, high])
+        best = []
+        for (text, m), own in sorted(stretches.items()):
+            item_id, item = self.items[m]
+            shift = int(offset[text])
+            found = [(x[0], x[1] + low - shift, x[2] + low - shift - 1) for low, high in own for x in [nearest(item, ids[low:high].tolist())]]
+            edits, first, last = min(found, default=(len(item), 0, -1))
+            if edits <= int(self.max_edits * len(item)) and last >= first:
+                best.append((text, item_id, edits, first, last))
+        return best
 
 
 def matches(
@@ -174,7 +227,7 @@ def matches(
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             index = Index(held.value, max_edits, repeats, bits, seed)
-            for piece in pieces(batches):
+            for piece in pieces(batches, 1024):
                 ids = piece.column(0).to_pylist()
                 if rows := index.search(piece.column(1).to_pylist()):
                     columns = list(zip(*[(ids[r[0]], *r[1:]) for r in rows], strict=True))
