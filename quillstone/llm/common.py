@@ -17,17 +17,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise df in the reliable checkpoint folder, which all executors share.
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The reliable checkpoint folder, which all executors share.
 
-    The cluster names the folder in spark.checkpoint.dir; only where that is unset
-    (tests on one machine) a temporary folder stands in.
+    The cluster names it in spark.checkpoint.dir; only where that is unset (tests on
+    one machine) a temporary folder stands in.
     """
-    spark = df.sparkSession
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillstone-")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="quillstone-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Materialise df in the checkpoint folder."""
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
 
 

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import decontaminate, linededup, quality, simhash, toxicity
+from quillstone.llm import decontaminate, linededup, quality, segment, simhash, toxicity
 from quillstone.llm.common import table
 
 
@@ -38,6 +38,12 @@ def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's pieces, how many they are, and whether they decode to the text."""
+    found = segment.encode(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", F.size("ids").alias("n_pieces"), "ids", "exact")
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
@@ -48,6 +54,7 @@ QUERIES = {
     "op2_decontaminate": op2_decontaminate,
     "op6_line_dedup": op6_line_dedup,
     "op7_simhash": op7_simhash,
+    "op8_sentencepiece": op8_sentencepiece,
     "op10_quality": op10_quality,
 }
 ORACLE: dict[str, str] = {}
