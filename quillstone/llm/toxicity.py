@@ -38,9 +38,9 @@ from quillstone.llm.common import labelled, pieces
 
 WORD = re.compile(r"\w+")
 #: Labelled rows that the model may learn from; features that it may keep.
-SAMPLE, FEATURES = 12_000, 20_000
+SAMPLE, FEATURES = 8_000, 20_000
 #: P(grade >= 1) from which a document is called toxic.
-LEAST = 0.4
+LEAST = 0.35
 #: Words whose scores a task remembers.
 MEMO = 200_000
 SCHEMA = "doc_id long, severity double, p_toxic double, grade int"
@@ -57,7 +57,7 @@ def types(text: str | None) -> list[str]:
     return sorted([*count, *(w for w, n in count.items() if n > 1)])
 
 
-def grades(docs: list[list[str]], toxic: np.ndarray) -> np.ndarray:
+def grades(docs: list[list], toxic: np.ndarray) -> np.ndarray:
     """Grades 0 to 3 of labelled rows; see the module."""
     out = np.zeros(len(docs), dtype=np.int64)
     if not toxic.any():
@@ -95,17 +95,25 @@ def fit(
     least: how many times commoner in toxic rows a feature must be than by chance.
     """
     toxic = np.array([bool(r.target) for r in rows], dtype=bool)
-    docs = [types(r.text) for r in rows]
     if not toxic.any() or toxic.all():
         return Model({}, np.full(3, -40.0 if len(rows) and toxic.all() else 40.0))
+    # Documents as numbers of words, so that each word is held once.
+    number: dict[str, int] = {}
+    docs = [[number.setdefault(w, len(number)) for w in types(r.text)] for r in rows]
     grade = grades(docs, toxic)
-    own = [{p for w in set(words) for p in parts(w)} for words in docs]
-    with_, all_ = Counter(), Counter()
-    for f, bad in zip(own, toxic.tolist(), strict=True):
-        all_.update(f)
-        if bad:
-            with_.update(f)
     base = toxic.mean()
+    words = list(number)
+    in_toxic, in_all = np.zeros(len(words), dtype=np.int64), np.zeros(len(words), dtype=np.int64)
+    for own, bad in zip(docs, toxic.tolist(), strict=True):
+        once = list(set(own))
+        in_all[once] += 1
+        in_toxic[once] += bad
+    with_, all_ = Counter(), Counter()
+    for w, c, t in zip(words, in_all.tolist(), in_toxic.tolist(), strict=True):
+        for p in parts(w):
+            all_[p] += c
+            if t:
+                with_[p] += t
     # Only features that are clearly commoner in toxic rows are kept: weights of common
     # words are noise that would add up over long documents. The ties go by the letters.
     strength = {}
@@ -114,11 +122,13 @@ def fit(
         if c > 1 and c >= least * expected and (c - expected) / (expected + 0.5) ** 0.5 >= 3:
             strength[f] = (c - expected) / (expected + 0.5) ** 0.5
     names = sorted(strength, key=lambda f: (-strength[f], f))[:features]
-    number = {f: i for i, f in enumerate(names)}
+    place = {f: i for i, f in enumerate(names)}
+    of_word = [[place[p] for p in parts(w) if p in place] for w in words]
     # A document holds a feature as often as it has words with it, so that words add up.
     indptr, index = [0], []
-    for words in docs:
-        index += [i for w in words for p in parts(w) if (i := number.get(p)) is not None]
+    for own in docs:
+        for w in own:
+            index += of_word[w]
         indptr.append(len(index))
     row = np.repeat(np.arange(len(docs)), np.diff(indptr))
     index = np.array(index, dtype=np.int64)
