@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import decontaminate, langid, linededup, pq, quality, segment, simhash, toxicity
+from quillstone.llm import decontaminate, langid, linededup, pii, pq, quality, segment, simhash, toxicity
 from quillstone.llm.common import table
 
 
@@ -34,6 +34,11 @@ def op4_pq_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pq.groups(table(spark, sf_dir, "embeddings"))
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return pii.find(docs, pii.train(docs))
+
+
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document with what is left of its text, and how much went."""
     found = linededup.runs(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -63,6 +68,7 @@ QUERIES = {
     "op2_decontaminate": op2_decontaminate,
     "op3_langid": op3_langid,
     "op4_pq_dedup": op4_pq_dedup,
+    "op5_pii": op5_pii,
     "op6_line_dedup": op6_line_dedup,
     "op7_simhash": op7_simhash,
     "op8_sentencepiece": op8_sentencepiece,
