@@ -23,7 +23,6 @@ n_card and n_phone count all spans, base and added; repeated rows give equal row
 from __future__ import annotations
 
 import re
-from collections import defaultdict
 from collections.abc import Iterator
 from hashlib import sha256
 
@@ -156,7 +155,7 @@ class Field:
     """Weights by feature (a row of one number for each type) and by neighbouring types."""
 
     def __init__(self):
-        self.weights: dict[str, np.ndarray] = defaultdict(lambda: np.zeros(OTHER + 1))
+        self.weights: dict[str, np.ndarray] = {}
         self.next = np.zeros((OTHER + 1, OTHER + 1))
 
     def segments(self, text: str, words: list[tuple[int, int]]) -> dict[tuple[int, int], list[str]]:
@@ -231,9 +230,10 @@ class Field:
                 slope[true[i, j]] += 1
             if (i, j) in segments and np.abs(slope).max() > 1e-4:
                 for f in segments[i, j]:
-                    g = slope - 0.002 * self.weights[f]
+                    old = self.weights.get(f, 0.0)
+                    g = slope - 0.002 * old
                     seen[f] = seen.get(f, 1e-6) + g * g
-                    self.weights[f] = self.weights[f] + rate * g / np.sqrt(seen[f])
+                    self.weights[f] = old + rate * g / np.sqrt(seen[f])
         kinds = [OTHER] + [true[x] for x in sorted(true)]
         for a, b in zip(kinds, kinds[1:], strict=False):
             turn[a, b] += 1
@@ -295,7 +295,6 @@ def fit(texts: list[str], *, epochs: int = 6, rate: float = 0.3, most: int = 1_5
     for epoch in range(epochs):
         for i in rng.permutation(len(known)).tolist():
             field.learn(*known[i], rate / (1 + epoch), seen)
-    field.weights = {f: w for f, w in field.weights.items()}
     return field
 
 
