@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillstone.llm import decontaminate, langid, linededup, pii, pq, quality, segment, simhash, toxicity
+from quillstone.llm import decontaminate, langid, linededup, pii, pq, quality, secrets, segment, simhash, toxicity
 from quillstone.llm.common import table
 
 
@@ -58,6 +58,11 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", F.size("ids").alias("n_pieces"), "ids", "exact")
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every candidate with its score; secret tells what the forest keeps."""
+    return secrets.Scanner(secrets.examples(spark)).scan(table(spark, sf_dir, "documents"))
+
+
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
@@ -72,6 +77,7 @@ QUERIES = {
     "op6_line_dedup": op6_line_dedup,
     "op7_simhash": op7_simhash,
     "op8_sentencepiece": op8_sentencepiece,
+    "op9_secrets": op9_secrets,
     "op10_quality": op10_quality,
 }
 ORACLE: dict[str, str] = {}
