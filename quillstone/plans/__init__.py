@@ -1 +1 @@
-"""See the modules of this package."""
+"""The repair planner and the registered queries."""
