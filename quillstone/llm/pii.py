@@ -299,8 +299,10 @@ def fit(texts: list[str], *, epochs: int = 6, rate: float = 0.3, most: int = 1_5
 
 
 def train(docs: DataFrame, *, sample: int = SAMPLE, **how) -> Field:
-    rows = docs.select("doc_id", "text").filter(F.col("text").isNotNull() & F.col("text").rlike("[0-9@]"))
-    rows = rows.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(sample).collect()
+    # Ids first: with the texts, every partition would send as many texts to the driver.
+    able = docs.filter(F.col("text").isNotNull() & F.col("text").rlike("[0-9@]"))
+    pick = able.select("doc_id").filter(F.col("doc_id").isNotNull()).distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    rows = sorted(able.select("doc_id", "text").join(F.broadcast(pick), "doc_id").collect(), key=lambda r: (r.doc_id, r.text))
     return fit([r.text for r in rows], **how)
 
 
