@@ -28,12 +28,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import components, cut
+from quillstone.llm.common import components, cut, pieces
 
 #: Vectors that centroids are fitted on; vectors of a list that a task compares with as many.
 SAMPLE, BLOCK = 20_000, 2_048
@@ -101,10 +101,14 @@ def forest(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray
     return node, label[node]
 
 
-def compare(index: Index, members: pd.DataFrame, queries: pd.DataFrame, the_list: int, least: float, slack: float):
+def vectors_of(column: pa.Array) -> np.ndarray:
+    """Vectors of one length as a matrix."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(float).reshape(len(column), -1)
+
+
+def compare(index: Index, members: pa.Table, queries: pa.Table, the_list: int, least: float, slack: float):
     """(counts by node, links) between queries and the members of a list."""
-    y = np.stack(members["x"].to_numpy()).astype(float)
-    x = np.stack(queries["x"].to_numpy()).astype(float)
+    y, x = vectors_of(members["x"].combine_chunks()), vectors_of(queries["x"].combine_chunks())
     centre = index.coarse[the_list]
     codes, off = index.code(y - centre)
     mine, theirs = queries["node"].to_numpy(), members["node"].to_numpy()
@@ -149,10 +153,8 @@ def links(vectors: DataFrame, *, least: float = 0.98, lists: int | None = None,
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         index = held.value
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            gaps = index.gaps(np.stack(batch.column(2).to_numpy(zero_copy_only=False)).astype(float))
+        for batch in pieces(batches, 512):
+            gaps = index.gaps(vectors_of(batch.column(2)))
             row, the_list = np.nonzero(gaps <= slack)
             own = gaps.argmin(axis=1)[row] == the_list
             columns = [batch.column(i).take(pa.array(row)) for i in range(4)] + [pa.array(the_list.astype(np.int32)), pa.array(own)]
@@ -166,19 +168,21 @@ def links(vectors: DataFrame, *, least: float = 0.98, lists: int | None = None,
     m = dealt.filter("own").withColumn("mb", F.pmod(F.xxhash64("node", F.lit(7)), "mn").cast("int")).withColumn("qb", F.explode(F.sequence(F.lit(0), F.col("qn") - 1))).withColumn("role", F.lit(1))
     columns = ["label", "list", "qb", "mb", "role", "node", "times", "x"]
 
-    def group(pdf: pd.DataFrame) -> pd.DataFrame:
-        queries, members = pdf[pdf["role"] == 0], pdf[pdf["role"] == 1]
-        if queries.empty or members.empty:
-            return pd.DataFrame({"a": [], "b": [], "n": []})
-        nodes, times, tip, root = compare(held.value, members, queries, int(pdf["list"].iloc[0]), least, slack)
+    names = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("n", pa.int64())])
+
+    def group(table: pa.Table) -> pa.Table:
+        queries, members = (table.filter(pc.equal(table["role"], r)) for r in (0, 1))
+        if not queries.num_rows or not members.num_rows:
+            return names.empty_table()
+        nodes, times, tip, root = compare(held.value, members, queries, table["list"][0].as_py(), least, slack)
         every, place = np.unique(nodes, return_inverse=True)
-        total = np.bincount(place, times, len(every)).astype("int64") if len(nodes) else np.empty(0, dtype="int64")
-        counts = pd.DataFrame({"a": every, "b": pd.array([None] * len(every), dtype="Int64"), "n": total})
-        joined = pd.DataFrame({"a": tip, "b": root, "n": pd.array([None] * len(tip), dtype="Int64")})
-        return pd.concat([counts.astype("Int64"), joined.astype("Int64")])
+        total = np.bincount(place, times, len(every)).astype(np.int64)
+        counts = [pa.array(every, pa.int64()), pa.nulls(len(every), pa.int64()), pa.array(total, pa.int64())]
+        joined = [pa.array(tip, pa.int64()), pa.array(root, pa.int64()), pa.nulls(len(tip), pa.int64())]
+        return pa.concat_tables([pa.table(counts, schema=names), pa.table(joined, schema=names)])
 
     both = q.select(columns).unionByName(m.select(columns))
-    return both.groupBy("label", "list", "qb", "mb").applyInPandas(group, kind)
+    return both.groupBy("label", "list", "qb", "mb").applyInArrow(group, kind)
 
 
 def groups(embeddings: DataFrame, *, id: str = "vec_id", vector: str = "embedding", label: str = "label", **how) -> DataFrame:
