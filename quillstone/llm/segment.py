@@ -26,6 +26,7 @@ repeated rows are encoded alike; rows with a null doc_id are encoded too.
 
 from __future__ import annotations
 
+import gc
 import re
 from collections.abc import Iterator
 from functools import cache
@@ -42,7 +43,7 @@ SPACE = "▁"
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 SEGMENT = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
 #: Distinct segments that a worker remembers, and letters of new ones that are matched at once.
-MEMO, AT_ONCE = 400_000, 400_000
+MEMO, AT_ONCE = 600_000, 400_000
 
 
 class Pieces:
@@ -74,7 +75,11 @@ class Pieces:
         kind = f"S{2 * self.longest}"
         self.low, self.high = low.view(kind).ravel(), high.view(kind).ravel()
         self.follows: dict[int, bool] = {}
-        self.known: dict[str, list[int]] = {}
+        self.known: dict[str, list[int]] = {}  # and older ones, some of which come back
+        self.older: dict[str, list[int]] = {}
+        self.halves: dict[str, tuple[str, str] | None] = {}
+        self.whole = np.zeros(len(self.text), dtype=bool)
+        self.whole[[i for p, i in self.id.items() if len(p) == 1 or self.last_merge(p) is not None]] = True
 
     def merged(self, text: str) -> list[str]:
         """text merged by rank, the leftmost first; the definition of the encoding."""
@@ -96,18 +101,54 @@ class Pieces:
                 out += [self.byte[b] for b in p.encode("utf-8", "surrogatepass")]
         return out
 
+    def last_merge(self, piece: str) -> tuple[str, str] | None:
+        """The two parts that a piece is merged from at last; None if merging its letters never gives it."""
+        if piece not in self.halves:
+            parts, before = list(piece), None
+            while len(parts) > 1:
+                before = parts
+                best = min(((*self.rank[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if a + b in self.rank), key=lambda x: (x[0], x[2]), default=None)
+                if best is None:
+                    break
+                i = best[2]
+                parts = parts[:i] + [parts[i] + parts[i + 1]] + parts[i + 2 :]
+            self.halves[piece] = (before[0], before[1]) if len(parts) == 1 and before else None
+        return self.halves[piece]
+
+    def follow(self, a: str, b: str) -> bool:
+        """Whether merging the letters of a + b gives a and b.
+
+        Merges are undone from the last to the first. Between the parts that meet at
+        the border no merge may come before the one that used up either of them; of
+        merges of one rank the leftmost comes first.
+        """
+        rank = self.rank
+        if len(a) > 1 and self.last_merge(a) is None or len(b) > 1 and self.last_merge(b) is None:
+            return False
+        limit, of_b = float("inf"), False
+        while True:
+            across = rank.get(a + b)
+            if across is not None and (across[0] < limit or across[0] == limit and of_b):
+                return False
+            of_a_rank = rank[a][0] if len(a) > 1 else -1.0
+            of_b_rank = rank[b][0] if len(b) > 1 else -1.0
+            if len(a) > 1 and (len(b) == 1 or of_a_rank > of_b_rank):
+                limit, of_b, a = of_a_rank, False, self.last_merge(a)[1]
+            elif len(b) > 1:
+                limit, of_b, b = of_b_rank, True, self.last_merge(b)[0]
+            else:
+                return True
+
     def may_follow(self, pairs: np.ndarray) -> np.ndarray:
         """For numbers first * size + second: may the second piece follow the first?"""
-        size, out = len(self.text), np.empty(len(pairs), dtype=bool)
-        for at, pair in enumerate(pairs.tolist()):
-            yes = self.follows.get(pair)
-            if yes is None:
-                a, b = self.text[pair // size], self.text[pair % size]
-                yes = self.follows[pair] = self.merged(a + b) == [a, b]
-            out[at] = yes
-        if len(self.follows) > 4_000_000:
-            self.follows.clear()
-        return out
+        size, out, follows, text = len(self.text), [], self.follows, self.text
+        for pair in pairs.tolist():
+            if (yes := follows.get(pair)) is None:
+                yes = follows[pair] = self.follow(text[pair // size], text[pair % size])
+            out.append(yes)
+        if len(follows) > 2_000_000:
+            follows.clear()
+        return np.array(out, dtype=bool)
 
     def edges(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(start, end, piece) of every occurrence of a piece in the text, sorted by end."""
@@ -155,9 +196,11 @@ class Pieces:
                 continue
             before = last[start[part]]
             part, before = part[before != -2], before[before != -2]
-            fits = before == -1
-            pairs, back = np.unique(before[~fits] * size + piece[part[~fits]], return_inverse=True)
-            fits[~fits] = self.may_follow(pairs)[back]
+            # A piece that its own letters don't merge to is never used.
+            fits = (before == -1) & self.whole[piece[part]]
+            others = before != -1
+            pairs, back = np.unique(before[others] * size + piece[part[others]], return_inverse=True)
+            fits[others] = self.may_follow(pairs)[back]
             part = part[fits]
             last[end[part]] = piece[part]
             came[end[part]] = start[part]
@@ -201,11 +244,16 @@ class Pieces:
 
     def encode(self, texts: list[str | None]) -> list[list[int] | None]:
         split = [SEGMENT.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
-        new = set(chain.from_iterable(split)).difference(self.known)
+        wanted = set(chain.from_iterable(split))
+        new = wanted.difference(self.known)
         if len(self.known) + len(new) > MEMO:
-            self.known.clear()
-            new = set(chain.from_iterable(split))
-        self.learn(new)
+            self.known, self.older = {}, self.known
+            new = wanted
+        # What was known before the last clearing is taken over, so that common words stay.
+        older = self.older
+        back = {s: older[s] for s in new if s in older}
+        self.known.update(back)
+        self.learn(new.difference(back))
         known = self.known.__getitem__
         return [None if t is None else list(chain.from_iterable(map(known, s))) for t, s in zip(texts, split, strict=True)]
 
@@ -222,9 +270,18 @@ class Pieces:
 @cache
 def load(path: str) -> Pieces:
     """The pieces of a file, kept by a worker process for its later tasks."""
+    gc.disable()  # what is remembered are lists of numbers, without cycles, and very many
     return Pieces(path)
 
 
+def lists(ids: list[list[int] | None]) -> pa.Array:
+    """Rows of pieces as an Arrow array, by way of one flat array."""
+    sizes = np.fromiter((len(x) if x else 0 for x in ids), dtype=np.int32, count=len(ids))
+    offsets = np.concatenate((np.zeros(1, dtype=np.int32), np.cumsum(sizes, dtype=np.int32)))
+    flat = np.fromiter(chain.from_iterable(x for x in ids if x), dtype=np.int32, count=int(offsets[-1]))
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat), mask=pa.array([x is None for x in ids], pa.bool_()))
+
+
 def encode(docs: DataFrame, path: str = MODEL) -> DataFrame:
     """(doc_id, ids, decoded, exact): pieces, the text they decode to, and whether it is the text."""
 
@@ -235,7 +292,7 @@ def encode(docs: DataFrame, path: str = MODEL) -> DataFrame:
             ids = own.encode(texts)
             decoded = [None if x is None else own.decode(x) for x in ids]
             exact = [None if t is None else t == d for t, d in zip(texts, decoded, strict=True)]
-            columns = [piece.column(0), pa.array(ids, pa.list_(pa.int32())), pa.array(decoded, pa.string()), pa.array(exact, pa.bool_())]
+            columns = [piece.column(0), lists(ids), pa.array(decoded, pa.string()), pa.array(exact, pa.bool_())]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "decoded", "exact"])
 
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text")
