@@ -1,17 +1,16 @@
-"""Line dedup by winnowing over line hashes; DataFrame functions only.
+"""Line dedup by hashes of neighbouring lines; DataFrame functions only.
 
 A line here is a piece of a physical line that ends with a sentence or before a
-capitalised word: such pieces are cut by what they hold, so a passage in the middle of other text is cut
-alike everywhere. Of every window of `window` neighbouring lines the smallest hash
-is a fingerprint, so two runs that share as many lines share a fingerprint. Each
-occurrence joins the first one of its fingerprint (by doc_id, then position), and
-the match is extended both ways over equal lines. Fingerprints stand at most
-`window` lines apart, so extending by `reach` >= window lines bridges them, and the
-union of the extended matches is the whole repeated run. Runs of at least
-`min_words` words are deleted; what was the first occurrence of a run stays.
-
-Short lines ("Yes.") sort after long ones in the window, so that fingerprints are
-taken from lines that tell something wherever there is one.
+capitalised word, and in long lines also between words whose letters say so
+(see CUTS): such pieces are cut by what they hold, some words long, so a passage
+in the middle of other text, or of a sentence, is cut alike everywhere. From every line
+on, and up to every line, as few lines as hold `min_words` words are a fingerprint (winnowing would take some
+of them, and find runs of few lines only by luck). Lines under a fingerprint that
+occurred before (by doc_id, then position) are repeated, whichever document that was
+in, so other uses of a line hide nothing: of a run of `min_words` words that occurred
+before, every line is under such a fingerprint. Touching repeated lines are one run;
+runs are deleted, and what was the first occurrence of a run stays. Of a passage that
+is cut out of sentences, the words before its first cut and behind its last one stay.
 
 Defined results: null text stays null; empty text stays empty; rows with a null
 doc_id or without repeated runs keep their text; rows that share a doc_id count as
@@ -26,6 +25,9 @@ from pyspark.sql import functions as F
 from quillstone.llm.common import cut
 
 MARK = "\x01"
+#: Longer lines (in characters) are cut further, between words by their letters (in other scripts between any); what stays long, more densely.
+CUTS = [(80, r"(?<=[nse0-9]|[^\x00-\x7F]) (?=[a-m0-9]|[^\x00-\x7F])"), (70, r"(?<=[aegikmpuwyz]) ")]
+BLANK = " \t\n\r"
 
 
 def _lines(text: Column) -> Column:
@@ -39,33 +41,56 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _values(lines: Column, short: int) -> Column:
-    """A hash of 62 bits for each line, with a further bit above it for short lines."""
+def _pieces(text: Column) -> Column:
+    """The lines of a text, blank ones joined to the line before, long ones cut by their words."""
+    clean = F.replace(F.coalesce(text, F.lit("")), F.lit(MARK), F.lit(""))
+    lines = F.split(F.regexp_replace(clean, r"[\n ](?=\S)(?:(?<=\n|[.!?。] )|(?=\p{Lu}))", f"$0{MARK}"), MARK)
+
+    for long, between in CUTS:
+        lines = F.flatten(F.transform(lines, _finer(long, between)))
+    return lines
+
+
+def _finer(long: int, between: str):
+    """A function of a line to its pieces."""
+
+    def pieces(line: Column) -> Column:
+        cut_ = F.split(F.regexp_replace(line, between, f"$0{MARK}"), MARK)
+        return F.when(F.length(F.btrim(line, F.lit(BLANK))) > long, cut_).otherwise(F.array(line))
+
+    return pieces
+
+
+def _values(lines: Column) -> Column:
+    """A hash of each line, with its words (at most 255; each blank counts) in the low eight bits."""
 
     def value(line: Column) -> Column:
-        bare = F.btrim(line, F.lit(" \t\n\r"))
-        return F.shiftrightunsigned(F.xxhash64(bare), 2) + F.when(F.length(bare) < short, F.lit(1 << 62)).otherwise(F.lit(0))
+        bare = F.btrim(line, F.lit(BLANK))
+        words = F.length(bare) - F.length(F.translate(bare, BLANK + "\x0b\x0c", "")) + 1
+        return F.shiftleft(F.xxhash64(bare), 8).bitwiseOR(F.least(words, F.lit(255)).cast("long"))
 
     return F.transform(lines, value)
 
 
-def _winners(v: Column, window: int) -> Column:
-    """Positions of the (first) smallest value of each window of neighbouring lines."""
+def _key(v: Column, at: Column) -> Column:
+    """The fingerprint at a place: the number of its first line times 256, and how many lines it has."""
+    return F.xxhash64(F.slice(v, (F.shiftright(at, 8) + 1), at.bitwiseAND(255)))
+
 
-    def winner(at: Column) -> Column:
-        part = F.slice(v, at + 1, F.lit(window))
-        return (at + F.array_position(part, F.array_min(part)) - 1).cast("int")
+def _keys(v: Column, min_words: int) -> Column:
+    """(h, at) of the fingerprints of a document."""
 
-    last = F.greatest(F.lit(0), F.size(v) - window)
-    return F.array_distinct(F.transform(F.sequence(F.lit(0), last), winner))
+    def step(n: Column, x: Column) -> Column:
+        return F.when(n.bitwiseAND(65535) >= min_words, n).otherwise(n + 65536 + x.bitwiseAND(255).cast("int"))
 
+    def places(v: Column, place) -> Column:
+        lengths = F.transform(v, lambda _, i: F.aggregate(F.slice(v, i + 1, F.lit(min_words)), F.lit(0), step))
+        return F.transform(lengths, lambda n, i: F.when(n.bitwiseAND(65535) >= min_words, place(i, F.shiftright(n, 16))))
 
-def _same(mine: Column, theirs: Column, at, reach: int) -> Column:
-    """How many values of theirs, from its start, equal mine at at(0), at(1), ..."""
-    count = F.lit(0)
-    for k in reversed(range(reach)):
-        count = F.when(F.get(theirs, F.lit(k)) == F.get(mine, at(k)), 1 + count).otherwise(F.lit(0))
-    return count
+    ahead = places(v, lambda i, n: i * 256 + n)
+    back = _let(F.reverse(v), lambda r: places(r, lambda i, n: (F.size(r) - i - n) * 256 + n))
+    both = F.filter(F.array_distinct(F.concat(ahead, back)), lambda at: at.isNotNull())
+    return F.transform(both, lambda at: F.struct(_key(v, at).alias("h"), at.alias("at")))
 
 
 def _merged(spans: Column) -> Column:
@@ -82,54 +107,47 @@ def _merged(spans: Column) -> Column:
     return F.aggregate(F.array_sort(spans), F.array().cast(kind), step)
 
 
-def runs(docs: DataFrame, *, window: int = 4, reach: int = 4, short: int = 24, min_words: int = 20) -> DataFrame:
+def runs(docs: DataFrame, *, window: int = 1, reach: int = 1, min_words: int = 20) -> DataFrame:
     """docs with `runs`, array of (s, e, words): line numbers from 0 of what is repeated; and `left`, the rest of the text."""
-    if reach < window:
-        raise ValueError("reach must be at least window, or matches leave gaps")
-    values = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").alias("doc"), _values(_lines(F.col("text")), short).alias("v"))
+    if window != 1 or reach < window:
+        raise ValueError("window must be 1 and reach at least that, or runs of few lines are missed")
+    if not 0 < min_words < 256:
+        raise ValueError("min_words must be from 1 to 255")
+    values = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc"), _values(_pieces(F.col("text"))).alias("v"))
     values = cut(values)  # 8 bytes a line; the texts are then cut into lines once, not for each use
-    marks = values.select("doc", "v", F.explode(_winners(F.col("v"), window)).alias("at"))
-    # One decimal of doc and position has a hash aggregate; a struct would be sorted.
-    place = (F.col("doc").cast("decimal(20,0)") * F.lit(10**10).cast("decimal(11,0)") + F.col("at")).cast("decimal(32,0)")
-    marks = marks.select(F.get("v", F.col("at")).alias("h"), "doc", "at", place.alias("place"))
-    first = marks.groupBy("h").agg(F.min("place").alias("place"), F.count(F.lit(1)).alias("n")).filter("n > 1")
-    at = F.pmod("place", F.lit(10**10).cast("decimal(11,0)"))
-    first = first.select("h", "place", ((F.col("place") - at) / F.lit(10**10).cast("decimal(11,0)")).cast("long").alias("doc"), at.cast("int").alias("at"))
-    v, at = F.col("v"), F.col("at")
-    # The lines around each first occurrence, nearest first.
-    left = F.reverse(F.slice(v, F.greatest(F.lit(1), at - reach + 1), F.least(at, F.lit(reach))))
-    around = first.join(values, "doc").select("h", F.col("place").alias("first"), left.alias("l"), F.slice(v, at + 2, F.lit(reach)).alias("r"))
-    later = marks.drop("place").join(around, "h")
-    place = (F.col("doc").cast("decimal(20,0)") * F.lit(10**10).cast("decimal(11,0)") + F.col("at")).cast("decimal(32,0)")
-    later = later.filter(place > F.col("first")).groupBy("doc").agg(F.collect_list(F.struct("at", "h", "l", "r")).alias("hits"))
+    marks = values.select("doc", F.explode(_keys(F.col("v"), min_words)).alias("m")).select("m.h", "doc", "m.at")
+    first = marks.groupBy("h").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
+    hit = F.struct("h", "at", (F.col("first") < F.col("doc")).alias("earlier"))
+    later = marks.join(first, "h").groupBy("doc").agg(F.collect_list(hit).alias("hits"))
 
     def found(lines: Column) -> Column:
-        return _let(_repeated(F.col("hits"), lines, _values(lines, short), reach, min_words), lambda r: F.struct(r.alias("runs"), F.when(F.size(r) > 0, kept_text(lines, r)).alias("left")))
+        return _let(_repeated(F.col("hits"), lines, _values(lines), min_words), lambda r: F.struct(r.alias("runs"), F.when(F.size(r) > 0, kept_text(lines, r)).alias("left")))
 
     joined = docs.join(later.withColumnRenamed("doc", "__doc"), F.col("doc_id") == F.col("__doc"), "left").drop("__doc")
-    joined = joined.withColumn("hits", F.when(F.col("hits").isNotNull(), _let(_lines(F.col("text")), found)))
+    joined = joined.withColumn("hits", F.when(F.col("hits").isNotNull(), _let(_pieces(F.col("text")), found)))
     none = F.array().cast("array<struct<s:int,e:int,words:int>>")
     return joined.withColumns({"runs": F.coalesce("hits.runs", none), "left": F.coalesce("hits.left", "text")}).drop("hits")
 
 
-def _repeated(hits: Column, lines: Column, values: Column, reach: int, min_words: int) -> Column:
-    """The runs of a document, from its matches with first occurrences."""
+def _repeated(hits: Column, lines: Column, values: Column, min_words: int) -> Column:
+    """The runs of a document, from its fingerprints that occur elsewhere too."""
 
-    def spans(mine: Column) -> Column:
-        def span(hit: Column) -> Column:
-            p = hit["at"]
-            s = p - _same(mine, hit["l"], lambda k: p - 1 - k, reach)
-            e = p + _same(mine, hit["r"], lambda k: p + 1 + k, reach)
-            return F.struct(s.cast("int").alias("s"), e.cast("int").alias("e"))
+    def again(own: Column) -> Column:
+        # Sorted by fingerprint and place: all but the first place of each.
+        return F.filter(own, lambda x, i: (i > 0) & (F.get(own, i - 1)["h"] == x["h"]) & (F.get(own, i - 1)["at"] < x["at"]))
 
-        return F.transform(F.filter(hits, lambda hit: F.get(mine, hit["at"]) == hit["h"]), span)
+    def spans(mine: Column) -> Column:
+        before = F.concat(F.filter(hits, lambda x: x["earlier"]), _let(F.array_sort(F.filter(hits, lambda x: ~x["earlier"])), again))
+        real = F.filter(before, lambda x: _key(mine, x["at"]) == x["h"])  # rows that share a doc_id share hits
+        s = lambda x: F.shiftright(x["at"], 8)
+        return F.transform(real, lambda x: F.struct(s(x).alias("s"), (s(x) + x["at"].bitwiseAND(255) - 1).alias("e")))
 
     def counted(x: Column) -> Column:
         body = F.array_join(F.slice(lines, x["s"] + 1, x["e"] - x["s"] + 1), "")
         words = F.size(F.filter(F.split(body, r"\s+"), lambda w: w != ""))
         return F.struct(x["s"].alias("s"), x["e"].alias("e"), words.alias("words"))
 
-    merged = _merged(F.array_distinct(_let(values, spans)))
+    merged = _merged(_let(values, spans))
     return F.filter(F.transform(merged, counted), lambda x: x["words"] >= min_words)
 
 

@@ -97,3 +97,41 @@ def test_defined_results(spark):
 def test_no_python_on_the_main_path(spark):
     plan = linededup.dedup(frame(spark, [(1, "A b.")]))._jdf.queryExecution().toString()
     assert not any(x in plan for x in ("Python", "Pandas", "Arrow"))
+
+
+def words_of(rng, n):
+    return ["".join(rng.choices("abcdefghiklmnorstu", k=rng.randint(2, 8))) for _ in range(n)]
+
+
+def said(rng, n, parts):
+    """n words in `parts` long sentences."""
+    words = words_of(rng, n)
+    size = -(-n // parts)
+    return " ".join(" ".join(words[i : i + size]).capitalize() + "." for i in range(0, n, size))
+
+
+def longest_shared(a, b):
+    """Words of the longest passage that two texts have in common."""
+    import difflib
+
+    return difflib.SequenceMatcher(None, a.split(), b.split(), autojunk=False).find_longest_match().size
+
+
+@pytest.mark.parametrize("parts", [0, 1, 2, 3])
+def test_short_passages_of_long_sentences(spark, parts):
+    rng = random.Random(30 + parts)
+    texts, pairs = [], []
+    for i in range(20):
+        n = rng.randint(51, 60)
+        passage = said(rng, n, parts) if parts else " ".join(words_of(rng, n))
+        for doc in (i, 100 + i):
+            if parts:
+                texts.append((doc, f"{said(rng, 40, 2)} {passage} {said(rng, 40, 2)}"))
+            else:  # in the middle of a sentence
+                texts.append((doc, f"{said(rng, 30, 1)[:-1]} {passage} {' '.join(words_of(rng, 25))}."))
+        pairs.append((i, 100 + i))
+    texts.sort()
+    got = dedup(spark, texts)
+    assert all(got[i] == t for i, t in texts if i < 100)
+    # At the ends of a passage in a sentence some words up to the next cut stay.
+    assert max(longest_shared(got[a], got[b]) for a, b in pairs) < (20 if parts == 0 else 2)
