@@ -135,3 +135,13 @@ def test_short_passages_of_long_sentences(spark, parts):
     assert all(got[i] == t for i, t in texts if i < 100)
     # At the ends of a passage in a sentence some words up to the next cut stay.
     assert max(longest_shared(got[a], got[b]) for a, b in pairs) < (20 if parts == 0 else 2)
+
+
+def test_lines_in_other_contexts_hide_nothing(spark):
+    rng = random.Random(40)
+    run = [sentence(rng) for _ in range(12)]
+    # Every line of the run occurs earlier on its own.
+    early = list(enumerate(run))
+    texts = [*early, (50, "\n".join(run)), (60, f"Own first.\n{chr(10).join(run)}\nOwn last.")]
+    got = dedup(spark, texts)
+    assert got == dict(texts) | {60: "Own first.\nOwn last."}
