@@ -240,7 +240,7 @@ class Pieces:
         tail = self.relax([SPACE + bare])[0] if bare else []
         left = spaces - bool(bare)
         wide = max(len(p) for p in self.id if not p.strip(SPACE))
-        return [self.id[SPACE * wide]] * (left // wide) + ([self.id[SPACE * (left % wide)]] if left % wide else []) + tail
+        return [self.id[SPACE * wide]] * (left // wide) + self.written(self.merged(SPACE * (left % wide))) + tail
 
     def encode(self, texts: list[str | None]) -> list[list[int] | None]:
         split = [SEGMENT.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]

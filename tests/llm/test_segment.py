@@ -46,3 +46,9 @@ def test_table(spark, library):
         assert r.doc_id == i and r.ids == (None if t is None else library.encode(t))
         assert r.exact == (None if t is None else segment.SPACE not in t)
     assert segment.encode(docs.limit(0)).count() == 0
+
+
+def test_long_runs_of_blanks_equal_the_library(library):
+    texts = [f"{blank * n}{word * 250}" for n in range(1, 65) for blank in (" ", segment.SPACE) for word in ("y", "aB3")] + [" " * n for n in range(200, 421)]
+    own = segment.Pieces(segment.MODEL)
+    assert own.encode(texts) == [library.encode(t) for t in texts]
