@@ -23,8 +23,10 @@ n_card and n_phone count all spans, base and added; repeated rows give equal row
 from __future__ import annotations
 
 import re
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from hashlib import sha256
+from itertools import accumulate
 
 import numpy as np
 import pyarrow as pa
@@ -160,13 +162,15 @@ class Field:
 
     def segments(self, text: str, words: list[tuple[int, int]]) -> dict[tuple[int, int], list[str]]:
         """Features of the candidate segments (first, stop) of a cluster. Of what lies beyond a sentence's end, only single words."""
-        out = {}
-        for i in range(len(words)):
-            for j in range(i + 1, min(i + LONGEST, len(words)) + 1):
-                s, e = trimmed(text, words[i][0], words[j - 1][1])
-                if s < e and (j == i + 1 or TRIGGER.search(text, words[i][0], words[i][1]) and TRIGGER.search(text, words[j - 1][0], words[j - 1][1])):
-                    out[i, j] = features(text, s, e, j - i)
-        return out
+        spans = ((i, j) for i in range(len(words)) for j in range(i + 1, min(i + LONGEST, len(words)) + 1))
+        return {(i, j): f for i, j in spans if (f := self.segment(text, words, i, j)) is not None}
+
+    def segment(self, text: str, words: list[tuple[int, int]], i: int, j: int) -> list[str] | None:
+        """Features of a candidate segment; None if it is none."""
+        s, e = trimmed(text, words[i][0], words[j - 1][1])
+        if s < e and (j == i + 1 or TRIGGER.search(text, words[i][0], words[i][1]) and TRIGGER.search(text, words[j - 1][0], words[j - 1][1])):
+            return features(text, s, e, j - i)
+        return None
 
     def scores(self, segments: dict) -> dict[tuple[int, int], np.ndarray]:
         get, none = self.weights.get, np.zeros(OTHER + 1)
@@ -180,10 +184,13 @@ class Field:
 
     def best(self, text: str, words: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
         """(first, stop, type) of the entities of the best segmentation."""
-        n, scores = len(words), self.scores(self.segments(text, words))
-        top, came = np.full((n + 1, OTHER + 1), -np.inf), {}
+        n = len(words)
+        top, came = np.full((n + 1, OTHER + 1), -np.inf), np.zeros((n + 1, OTHER + 1, 2), dtype=np.int64)
         top[0, OTHER] = 0
         for j in range(1, n + 1):
+            # Only the segments that end here are held, so a cluster may be of any length.
+            ends = {(i, j): f for i in range(max(0, j - LONGEST), j) if (f := self.segment(text, words, i, j)) is not None}
+            scores = self.scores(ends)
             for i in range(max(0, j - LONGEST), j):
                 score = scores.get((i, j), None if j > i + 1 else np.where(np.arange(OTHER + 1) == OTHER, 0.0, -np.inf))
                 if score is None:
@@ -196,7 +203,7 @@ class Field:
                     came[j, k] = (i, int(before[k]))
         out, j, k = [], n, int(top[n].argmax())
         while j:
-            i, before = came[j, k]
+            i, before = came[j, k].tolist()
             if k != OTHER:
                 out.append((i, j, k))
             j, k = i, before
@@ -311,16 +318,15 @@ def spans(text: str, field: Field) -> tuple[list, list]:
     own = base(text)
     added = []
     if TRIGGER.search(text):
+        starts, furthest = [s for s, _, _ in own], list(accumulate((e for _, _, e in own), max))
         for words in clusters(text):
-            # Of a very long cluster (a table of numbers), stretches of words are decoded one after the other.
-            for at in range(0, len(words), 400):
-                part = words[at : at + 400]
-                if all(any(s <= a and b <= e + 1 for s, _, e in own) for a, b in part):
-                    continue
-                for i, j, k in field.best(text, part):
-                    s, e = trimmed(text, part[i][0], part[j - 1][1])
-                    if not any(a < e and s < b for a, _, b in own):
-                        added.append((s, k, e))
+            if all((k := bisect_right(starts, a)) and b <= furthest[k - 1] + 1 for a, b in words):
+                continue
+            for i, j, k in field.best(text, words):
+                s, e = trimmed(text, words[i][0], words[j - 1][1])
+                at = bisect_left(starts, e)
+                if not (at and s < furthest[at - 1]):
+                    added.append((s, k, e))
     return own, sorted(own + added)
 
 

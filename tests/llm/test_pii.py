@@ -120,3 +120,10 @@ def test_table(spark):
         assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(x.startswith(k) for x in every) for k in pii.KINDS]
     assert pii.find(docs.limit(0), pii.Field()).count() == 0
     assert pii.train(docs.limit(0)).weights == {}
+
+
+@pytest.mark.parametrize("before", [398, 399, 400, 799, 1200])
+def test_long_clusters_are_decoded_whole(field, before):
+    head = "12 " * before
+    own, every = pii.spans(f"{head}(415) 555-2671 now", field)
+    assert own == [] and (len(head), 3, len(head) + 14) in every
