@@ -1,20 +1,34 @@
-"""Line dedup by hashes of neighbouring lines; DataFrame functions only.
-
-A line here is a piece of a physical line that ends with a sentence or before a
-capitalised word, and in long lines also between words whose letters say so
-(see CUTS): such pieces are cut by what they hold, some words long, so a passage
-in the middle of other text, or of a sentence, is cut alike everywhere. From every line
-on, and up to every line, as few lines as hold `min_words` words are a fingerprint (winnowing would take some
-of them, and find runs of few lines only by luck). Lines under a fingerprint that
-occurred before (by doc_id, then position) are repeated, whichever document that was
-in, so other uses of a line hide nothing: of a run of `min_words` words that occurred
-before, every line is under such a fingerprint. Touching repeated lines are one run;
-runs are deleted, and what was the first occurrence of a run stays. Of a passage that
-is cut out of sentences, the words before its first cut and behind its last one stay.
-
-Defined results: null text stays null; empty text stays empty; rows with a null
-doc_id or without repeated runs keep their text; rows that share a doc_id count as
-one document; extra columns pass through untouched. A document may end up empty.
+"""Line dedup by winnowing over line hashes; DataFrame functions only.
+
+A line here is a physical line cut further after sentences and before capitalised words
+that begin some; what is longer than that, behind the first word of three or four letters
+that has UNCUT words before it, or else after LONGEST words (see PIECE). A passage in the
+middle of other text is so cut alike everywhere from the first sentence or short word on
+at which both cuts meet.
+
+1. Winnowing. Of every `window` neighbouring lines the least line hash is a fingerprint
+   (lines of few words only if there are no others, and then the whole window is one).
+   As a line has at most LONGEST words, `min_words` words that repeat hold a whole window,
+   so every repeated run shares a fingerprint with its copy, and more every few lines.
+2. Places. Fingerprints that occur more than once are joined to their places; windows
+   `reach` lines either way of these places are the only ones that can be in a repeated run.
+3. Extension. Each of these windows is joined to its own first place (by doc_id, then a
+   hash of the text and position) by 128 bits of hashes; the lines of a window that is not at
+   its first place are repeated, whichever document that was in, so other uses of a line
+   hide nothing. Repeated lines that touch are one run, which so extends both ways as far as its
+   copies do, even if parts of it have copies in different places.
+4. Texts that are equal as a whole (by 128 bits of hashes) are told first; later ones are
+   runs from end to end, and only the first of each is looked at by lines.
+
+Runs of `min_words` words or more are deleted; what was the first occurrence of a run
+stays. Of a passage that is cut out of sentences, the words before its first cut and
+behind its last one stay.
+
+Defined results: null text stays null; empty text stays empty; rows with a null doc_id or
+without repeated runs keep their text; rows that share a doc_id and the text are treated
+alike, those that share the doc_id only are taken in the order of a hash of their texts;
+extra columns pass through untouched, whatever they are called; texts of any length are
+read whole; an empty table stays empty. A document may end up empty.
 """
 
 from __future__ import annotations
@@ -24,16 +38,12 @@ from pyspark.sql import functions as F
 
 from quillstone.llm.common import cut
 
-MARK = "\x01"
-#: Longer lines (in characters) are cut further, between words by their letters (in other scripts between any); what stays long, more densely.
-CUTS = [(80, r"(?<=[nse0-9]|[^\x00-\x7F]) (?=[a-m0-9]|[^\x00-\x7F])"), (70, r"(?<=[aegikmpuwyz]) ")]
-BLANK = " \t\n\r"
-
-
-def _lines(text: Column) -> Column:
-    """The lines of a text; joined, they are the text (but for the marks, which are dropped)."""
-    clean = F.replace(F.coalesce(text, F.lit("")), F.lit(MARK), F.lit(""))
-    return F.split(F.regexp_replace(clean, r"[\n ](?:(?<=\n|[.!?。] )|(?=\p{Lu}))", f"$0{MARK}"), MARK)
+#: Most words of a line; words of a long line before it may be cut behind any short word; words from which a line is a fingerprint on its own.
+LONGEST, UNCUT, PLENTY = 10, 2, 4
+#: A word and the blanks behind it, if no line ends there: with a sentence, a physical line, or before a capitalised word and three others.
+_WORD = r"\S++(?<![^\p{Lu}\p{P}][.!?]|。)[ \t]++(?!\p{Lu}\p{Ll}\S*+(?: \p{Ll}\S*+){3})"
+#: A line, its words as a group, or blanks alone.
+PIECE = rf"\s*+((?:{_WORD}){{0,{UNCUT}}}+(?:{_WORD}(?<! \S{{3,4}} )){{0,{LONGEST - UNCUT - 1}}}+\S++)\s*+|\s++"
 
 
 def _let(value: Column, body) -> Column:
@@ -41,56 +51,53 @@ def _let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def _pieces(text: Column) -> Column:
-    """The lines of a text, blank ones joined to the line before, long ones cut by their words."""
-    clean = F.replace(F.coalesce(text, F.lit("")), F.lit(MARK), F.lit(""))
-    lines = F.split(F.regexp_replace(clean, r"[\n ](?=\S)(?:(?<=\n|[.!?。] )|(?=\p{Lu}))", f"$0{MARK}"), MARK)
+def _lines(text: Column, group: int = 0) -> Column:
+    """The lines of a text; joined, they are the text. With group 1 without the blanks around them."""
+    return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(PIECE), F.lit(group))
 
-    for long, between in CUTS:
-        lines = F.flatten(F.transform(lines, _finer(long, between)))
-    return lines
 
+def _values(bare: Column) -> Column:
+    """Of each line: whether it has few words, 54 bits of its hash, and its words (at most LONGEST), from the high bits to the low ones."""
+    few, middle = F.lit(1 << 62), F.lit((1 << 62) - 256)
 
-def _finer(long: int, between: str):
-    """A function of a line to its pieces."""
+    def value(line: Column) -> Column:
+        words = F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
+        return F.xxhash64(line).bitwiseAND(middle).bitwiseOR(F.when(words < PLENTY, words + few).otherwise(F.least(words, F.lit(LONGEST))))
 
-    def pieces(line: Column) -> Column:
-        cut_ = F.split(F.regexp_replace(line, between, f"$0{MARK}"), MARK)
-        return F.when(F.length(F.btrim(line, F.lit(BLANK))) > long, cut_).otherwise(F.array(line))
+    return F.transform(bare, value)
 
-    return pieces
 
+def _fingerprints(v: Column, window: int) -> Column:
+    """For each window the least of its lines, or null if that is the one of the window before."""
 
-def _values(lines: Column) -> Column:
-    """A hash of each line, with its words (at most 255; each blank counts) in the low eight bits."""
+    def at(i: Column) -> Column:
+        return F.get(v, i)
 
-    def value(line: Column) -> Column:
-        bare = F.btrim(line, F.lit(BLANK))
-        words = F.length(bare) - F.length(F.translate(bare, BLANK + "\x0b\x0c", "")) + 1
-        return F.shiftleft(F.xxhash64(bare), 8).bitwiseOR(F.least(words, F.lit(255)).cast("long"))
+    def least(i: Column) -> Column:
+        return F.least(*(at(i + k) for k in range(window))) if window > 1 else at(i)
 
-    return F.transform(lines, value)
+    def mark(i: Column) -> Column:
+        def kept(m: Column) -> Column:
+            # Of equal lines the last one is the least, so a line that comes in anew counts.
+            alone = F.when((i == 0) | (m != least(i - 1)) | (m == at(i + (window - 1))), m)
+            return F.when(m < F.lit(1 << 62), alone).otherwise(F.xxhash64(*(at(i + k) for k in range(window))))
 
+        return _let(least(i), kept)
 
-def _key(v: Column, at: Column) -> Column:
-    """The fingerprint at a place: the number of its first line times 256, and how many lines it has."""
-    return F.xxhash64(F.slice(v, (F.shiftright(at, 8) + 1), at.bitwiseAND(255)))
+    return F.transform(F.sequence(F.lit(0), F.size(v) - window), mark)
 
 
-def _keys(v: Column, min_words: int) -> Column:
-    """(h, at) of the fingerprints of a document."""
+def _windows(v: Column, places: Column, window: int, reach: int) -> Column:
+    """(h, g, at) of the windows around places: 128 bits of hashes and the first line."""
 
-    def step(n: Column, x: Column) -> Column:
-        return F.when(n.bitwiseAND(65535) >= min_words, n).otherwise(n + 65536 + x.bitwiseAND(255).cast("int"))
+    def near(at: Column) -> Column:
+        return F.sequence(F.greatest(at - reach, F.lit(0)), F.least(at + reach, F.size(v) - window))
 
-    def places(v: Column, place) -> Column:
-        lengths = F.transform(v, lambda _, i: F.aggregate(F.slice(v, i + 1, F.lit(min_words)), F.lit(0), step))
-        return F.transform(lengths, lambda n, i: F.when(n.bitwiseAND(65535) >= min_words, place(i, F.shiftright(n, 16))))
+    def key(i: Column) -> Column:
+        lines = [F.get(v, i + k) for k in range(window)]
+        return F.struct(F.xxhash64(*lines).alias("h"), F.xxhash64(F.lit(7), *lines).alias("g"), i.alias("at"))
 
-    ahead = places(v, lambda i, n: i * 256 + n)
-    back = _let(F.reverse(v), lambda r: places(r, lambda i, n: (F.size(r) - i - n) * 256 + n))
-    both = F.filter(F.array_distinct(F.concat(ahead, back)), lambda at: at.isNotNull())
-    return F.transform(both, lambda at: F.struct(_key(v, at).alias("h"), at.alias("at")))
+    return F.transform(F.array_distinct(F.flatten(F.transform(places, near))), key)
 
 
 def _merged(spans: Column) -> Column:
@@ -107,47 +114,57 @@ def _merged(spans: Column) -> Column:
     return F.aggregate(F.array_sort(spans), F.array().cast(kind), step)
 
 
-def runs(docs: DataFrame, *, window: int = 1, reach: int = 1, min_words: int = 20) -> DataFrame:
+def runs(docs: DataFrame, *, window: int = 2, reach: int = 1, min_words: int = 20) -> DataFrame:
     """docs with `runs`, array of (s, e, words): line numbers from 0 of what is repeated; and `left`, the rest of the text."""
-    if window != 1 or reach < window:
-        raise ValueError("window must be 1 and reach at least that, or runs of few lines are missed")
     if not 0 < min_words < 256:
         raise ValueError("min_words must be from 1 to 255")
-    values = docs.filter(F.col("doc_id").isNotNull()).select(F.col("doc_id").cast("long").alias("doc"), _values(_pieces(F.col("text"))).alias("v"))
-    values = cut(values)  # 8 bytes a line; the texts are then cut into lines once, not for each use
-    marks = values.select("doc", F.explode(_keys(F.col("v"), min_words)).alias("m")).select("m.h", "doc", "m.at")
-    first = marks.groupBy("h").agg(F.min("doc").alias("first"), F.count(F.lit(1)).alias("n")).filter("n > 1").drop("n")
-    hit = F.struct("h", "at", (F.col("first") < F.col("doc")).alias("earlier"))
-    later = marks.join(first, "h").groupBy("doc").agg(F.collect_list(hit).alias("hits"))
+    if not 0 < window <= max(1, min_words // LONGEST) or reach < window - 1:
+        raise ValueError("a window must fit in min_words words and reach must be at least one line less, or runs of few lines are missed")
+    own = ["doc", "t"]
+    keyed = [F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("t")]
+    values = docs.filter(F.col("doc_id").isNotNull()).select(*keyed, F.xxhash64(F.lit(7), "text").alias("u"), _values(_lines(F.col("text"), 1)).alias("v"))
+    values = cut(values).filter(F.size("v") >= window)
+    # Whole copies are told by 128 bits of hashes of the texts; only the first of each is looked at by lines.
+    texts = cut(values.select(*own, "u", _words(F.col("v")).alias("words")))
+    firsts = texts.groupBy("t", "u").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first != last").drop("last")
+    copies = cut(texts.join(firsts, ["t", "u"]).filter("doc != first").select(*own, "words").distinct())
+    values = values.join(copies.select(own), own, "left_anti").select(*own, "v")
+
+    marks = values.select(*own, F.posexplode(_fingerprints(F.col("v"), window)).alias("at", "h")).filter("h is not null")
+    shared = marks.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h")
+    places = marks.join(shared, "h").groupBy(own).agg(F.collect_set("at").alias("ats"))
+
+    keys = values.join(places, own).select(*own, F.explode(_windows(F.col("v"), F.col("ats"), window, reach)).alias("k"))
+    keys = keys.select("k.h", "k.g", *own, "k.at")
+    place = F.struct(*own, "at")
+    first = keys.groupBy("h", "g").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first != last").drop("last")
+    later = keys.join(first, ["h", "g"]).filter(F.col("first") < place).groupBy(own).agg(F.collect_set("at").alias("hits"))
+
+    gone = later.withColumn("whole", F.lit(None).cast("int")).unionByName(copies.filter(F.col("words") >= min_words).select(*own, F.lit(None).cast("array<int>").alias("hits"), F.col("words").alias("whole")))
+    joined = docs.withColumns({f"__{c}": x for c, x in zip(own, keyed, strict=True)})
+    joined = joined.join(gone.withColumnsRenamed({c: f"__{c}" for c in own}), [f"__{c}" for c in own], "left").drop(*(f"__{c}" for c in own))
 
     def found(lines: Column) -> Column:
-        return _let(_repeated(F.col("hits"), lines, _values(lines), min_words), lambda r: F.struct(r.alias("runs"), F.when(F.size(r) > 0, kept_text(lines, r)).alias("left")))
+        whole = F.array(F.struct(F.lit(0).alias("s"), (F.size(lines) - 1).alias("e"), F.col("whole").alias("words")))
+        return _let(F.when(F.col("whole").isNotNull(), whole).otherwise(_repeated(F.col("hits"), lines, window, min_words)), lambda r: F.struct(r.alias("runs"), kept_text(lines, r).alias("left")))
 
-    joined = docs.join(later.withColumnRenamed("doc", "__doc"), F.col("doc_id") == F.col("__doc"), "left").drop("__doc")
-    joined = joined.withColumn("hits", F.when(F.col("hits").isNotNull(), _let(_pieces(F.col("text")), found)))
+    joined = joined.withColumn("hits", F.when(F.col("hits").isNotNull() | F.col("whole").isNotNull(), _let(_lines(F.col("text")), found)))
     none = F.array().cast("array<struct<s:int,e:int,words:int>>")
-    return joined.withColumns({"runs": F.coalesce("hits.runs", none), "left": F.coalesce("hits.left", "text")}).drop("hits")
+    return joined.withColumns({"runs": F.coalesce("hits.runs", none), "left": F.coalesce("hits.left", "text")}).drop("hits", "whole")
 
 
-def _repeated(hits: Column, lines: Column, values: Column, min_words: int) -> Column:
-    """The runs of a document, from its fingerprints that occur elsewhere too."""
+def _words(v: Column) -> Column:
+    return F.aggregate(v, F.lit(0), lambda n, x: n + x.bitwiseAND(255).cast("int"))
 
-    def again(own: Column) -> Column:
-        # Sorted by fingerprint and place: all but the first place of each.
-        return F.filter(own, lambda x, i: (i > 0) & (F.get(own, i - 1)["h"] == x["h"]) & (F.get(own, i - 1)["at"] < x["at"]))
 
-    def spans(mine: Column) -> Column:
-        before = F.concat(F.filter(hits, lambda x: x["earlier"]), _let(F.array_sort(F.filter(hits, lambda x: ~x["earlier"])), again))
-        real = F.filter(before, lambda x: _key(mine, x["at"]) == x["h"])  # rows that share a doc_id share hits
-        s = lambda x: F.shiftright(x["at"], 8)
-        return F.transform(real, lambda x: F.struct(s(x).alias("s"), (s(x) + x["at"].bitwiseAND(255) - 1).alias("e")))
+def _repeated(hits: Column, lines: Column, window: int, min_words: int) -> Column:
+    """The runs of a document, from its windows that occurred before."""
 
     def counted(x: Column) -> Column:
         body = F.array_join(F.slice(lines, x["s"] + 1, x["e"] - x["s"] + 1), "")
-        words = F.size(F.filter(F.split(body, r"\s+"), lambda w: w != ""))
-        return F.struct(x["s"].alias("s"), x["e"].alias("e"), words.alias("words"))
+        return F.struct(x["s"].alias("s"), x["e"].alias("e"), F.regexp_count(body, F.lit(r"\S++")).alias("words"))
 
-    merged = _merged(_let(values, spans))
+    merged = _merged(F.transform(hits, lambda at: F.struct(at.alias("s"), (at + (window - 1)).alias("e"))))
     return F.filter(F.transform(merged, counted), lambda x: x["words"] >= min_words)
 
 

@@ -24,7 +24,7 @@ def test_lines_join_to_the_text(spark):
     texts = ["A b. C d\ne F\n\ng", "", "Émile À la", " \n \n"]
     got = frame(spark, enumerate(texts)).select(linededup._lines(F.col("text")).alias("x"), "text").collect()
     assert all("".join(r.x) == r.text for r in got)
-    assert got[0].x == ["A b. ", "C d\n", "e ", "F\n", "\n", "g"]
+    assert got[0].x == ["A b. ", "C d\n", "e F\n\n", "g"]
 
 
 def brute(texts, min_words=20):
