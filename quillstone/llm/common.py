@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import tempfile
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -36,18 +35,23 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def written(df: DataFrame) -> DataFrame:
-    """Materialise df as a table in the checkpoint folder: smaller than a checkpoint where there are many short rows."""
-    path = f"{checkpoint_folder(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+def pieces(batches: Iterator[pa.RecordBatch], size: int = PIECE, most: int | None = None) -> Iterator[pa.RecordBatch]:
+    """The batches in pieces of few rows, so that long texts stay few in memory.
 
-
-def pieces(batches: Iterator[pa.RecordBatch], size: int = PIECE) -> Iterator[pa.RecordBatch]:
-    """The batches in pieces of few rows, so that long texts stay few in memory."""
+    With most, a piece ends with the row that brings it to so many bytes.
+    """
     for batch in batches:
-        for at in range(0, batch.num_rows, size):
-            yield batch.slice(at, size)
+        at = 0
+        while at < batch.num_rows:
+            piece = batch.slice(at, size)
+            if most and piece.nbytes > most and piece.num_rows > 1:
+                low, high = 1, piece.num_rows
+                while low < high:
+                    half = (low + high) // 2
+                    low, high = (low, half) if piece.slice(0, half).nbytes >= most else (half + 1, high)
+                piece = piece.slice(0, low)
+            yield piece
+            at += piece.num_rows
 
 
 def held_out(column: str = "doc_id"):

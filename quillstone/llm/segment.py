@@ -1,9 +1,10 @@
 """SentencePiece encoding and decoding by suffix-array matching and relaxation.
 
 Text is put as the piece model puts it: white space U+0020 becomes U+2581 and one is
-put in front. No piece holds U+2581 behind another character, so text falls into
-segments (a run of U+2581 and what follows it) that are encoded on their own; each
-distinct segment of a batch is encoded once.
+put in front. No piece holds U+2581 behind another character, nor a line break (where the
+vocabulary has none), so text falls into segments (a run of U+2581, or a line break, and
+what follows it) that are encoded and decoded on their own; each distinct segment of a
+batch is worked out once, and what was common before is remembered, within bounds.
 
 The new segments of a batch are joined to one text with separators. Its suffixes are
 sorted by as many characters as the longest piece has (a suffix array to that depth);
@@ -15,18 +16,20 @@ merging their joined letters by the model's order gives just these two; the merg
 form of a text is the only path all of whose neighbours may follow each other. So the
 result is the model's own (tests compare with its library). A character that no piece
 holds is written by its UTF-8 bytes. Segments that begin with several U+2581 have
-merges of equal rank, for which paths don't decide; these few are merged as they are.
+merges of equal rank, for which paths don't decide; these few are merged in the model's order.
 
 Decoding joins pieces and bytes, and turns U+2581 to spaces. A text that holds U+2581
 itself decodes with spaces there; `exact` is false for it.
 
 Defined results: null text gives null pieces and null text; empty text no pieces;
-repeated rows are encoded alike; rows with a null doc_id are encoded too.
+repeated rows are encoded alike; rows with a null doc_id are encoded too; texts of any
+length are encoded whole; of equal ranks the leftmost merge comes first; an empty table
+gives an empty one; only doc_id and text are read, whatever other columns are called.
 """
 
 from __future__ import annotations
 
-import gc
+import heapq
 import re
 from collections.abc import Iterator
 from functools import cache
@@ -41,9 +44,10 @@ from quillstone.llm.common import pieces
 SPACE = "▁"
 #: Vocabulary file; its path is a parameter of every function here.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
-SEGMENT = re.compile(f"{SPACE}+[^{SPACE}]*|[^{SPACE}]+")
-#: Distinct segments that a worker remembers, and letters of new ones that are matched at once.
-MEMO, AT_ONCE = 600_000, 400_000
+#: Segments that a worker remembers (twice), their letters, pairs of pieces, and letters of new segments that are matched at once.
+MEMO, MEMO_LETTERS, PAIRS, AT_ONCE = 250_000, 4_000_000, 1_000_000, 400_000
+#: Rows and bytes of text that are encoded together.
+ROWS, BYTES = 1_024, 4_000_000
 
 
 class Pieces:
@@ -74,23 +78,47 @@ class Pieces:
         self.ids, self.lengths = ids, np.array([len(c) for c in codes])
         kind = f"S{2 * self.longest}"
         self.low, self.high = low.view(kind).ravel(), high.view(kind).ravel()
-        self.follows: dict[int, bool] = {}
-        self.known: dict[str, list[int]] = {}  # and older ones, some of which come back
-        self.older: dict[str, list[int]] = {}
+        self.top = max(self.bytes_of, default=-1)
+        #: Pairs of pieces, first * size + second: whether the second may follow.
+        self.pairs, self.answers = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=bool)
+        self.fresh: dict[int, bool] = {}
+        #: Pieces of segments by key, as 32-bit numbers, and of older ones, some of which come back.
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.letters = 0
+        #: What segments decode to, where that is something else than the segment with spaces.
+        self.odd: dict[str, str] = {}
+        self.breaks = not any("\n" in p for p in self.id)
+        self.segment = re.compile(f"{SPACE}+[^{SPACE}\n]*|\n[^{SPACE}\n]*" if self.breaks else f"{SPACE}+[^{SPACE}]*")
         self.halves: dict[str, tuple[str, str] | None] = {}
         self.whole = np.zeros(len(self.text), dtype=bool)
         self.whole[[i for p, i in self.id.items() if len(p) == 1 or self.last_merge(p) is not None]] = True
 
     def merged(self, text: str) -> list[str]:
         """text merged by rank, the leftmost first; the definition of the encoding."""
-        parts = list(text)
-        while len(parts) > 1:
-            best = min(((*self.rank[a + b], i) for i, (a, b) in enumerate(zip(parts, parts[1:], strict=False)) if a + b in self.rank), key=lambda x: (x[0], x[2]), default=None)
-            if best is None:
-                break
-            i = best[2]
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
-        return parts
+        parts: list[str | None] = list(text)
+        after, before = list(range(1, len(parts) + 1)), list(range(-1, len(parts) - 1))
+        heap: list[tuple[float, int, str]] = []
+
+        def offer(i: int) -> None:
+            j = after[i]
+            if i >= 0 and j < len(parts) and (both := parts[i] + parts[j]) in self.rank:
+                heapq.heappush(heap, (self.rank[both][0], i, both))
+
+        for i in range(len(parts) - 1):
+            offer(i)
+        while heap:
+            _, i, both = heapq.heappop(heap)
+            j = after[i]
+            if parts[i] is None or j >= len(parts) or parts[i] + parts[j] != both:
+                continue  # one of the two went into another merge
+            parts[i], parts[j], after[i] = both, None, after[j]
+            if after[j] < len(parts):
+                before[after[j]] = i
+            offer(i)
+            if before[i] >= 0:
+                offer(before[i])
+        return [p for p in parts if p is not None]
 
     def written(self, parts: list[str]) -> list[int]:
         out = []
@@ -140,15 +168,30 @@ class Pieces:
                 return True
 
     def may_follow(self, pairs: np.ndarray) -> np.ndarray:
-        """For numbers first * size + second: may the second piece follow the first?"""
-        size, out, follows, text = len(self.text), [], self.follows, self.text
-        for pair in pairs.tolist():
-            if (yes := follows.get(pair)) is None:
-                yes = follows[pair] = self.follow(text[pair // size], text[pair % size])
-            out.append(yes)
-        if len(follows) > 2_000_000:
-            follows.clear()
-        return np.array(out, dtype=bool)
+        """For numbers first * size + second, sorted: may the second piece follow the first?"""
+        size, fresh, text = len(self.text), self.fresh, self.text
+        if not len(self.pairs):
+            at, held = np.zeros(len(pairs), dtype=np.int64), np.zeros(len(pairs), dtype=bool)
+        else:
+            at = np.minimum(np.searchsorted(self.pairs, pairs), len(self.pairs) - 1)
+            held = self.pairs[at] == pairs
+        out = np.zeros(len(pairs), dtype=bool)
+        out[held] = self.answers[at[held]]
+        for i in np.flatnonzero(~held).tolist():
+            pair = int(pairs[i])
+            if (yes := fresh.get(pair)) is None:
+                yes = fresh[pair] = self.follow(text[pair // size], text[pair % size])
+            out[i] = yes
+        return out
+
+    def settle(self) -> None:
+        """Put the pairs that were asked for anew to the others."""
+        if len(self.pairs) > PAIRS:
+            self.pairs, self.answers = self.pairs[:0], self.answers[:0]
+        pairs = np.concatenate((self.pairs, np.fromiter(self.fresh, dtype=np.int64, count=len(self.fresh))))
+        answers = np.concatenate((self.answers, np.fromiter(self.fresh.values(), dtype=bool, count=len(self.fresh))))
+        order = np.argsort(pairs, kind="stable")
+        self.pairs, self.answers, self.fresh = pairs[order], answers[order], {}
 
     def edges(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(start, end, piece) of every occurrence of a piece in the text, sorted by end."""
@@ -170,8 +213,8 @@ class Pieces:
         by_end = np.argsort(end, kind="stable")
         return start[by_end], end[by_end], self.ids[which[by_end]]
 
-    def relax(self, segments: list[str]) -> list[list[int]]:
-        """The pieces of distinct segments that have no merges of equal rank."""
+    def relax(self, segments: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(pieces, offsets) of distinct segments that have no merges of equal rank; a letter x that no piece holds is -1 - x."""
         joined = "\x00".join(segments) + "\x00"
         points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
         codes = self.code[points]
@@ -204,81 +247,121 @@ class Pieces:
             part = part[fits]
             last[end[part]] = piece[part]
             came[end[part]] = start[part]
-        out = []
-        last, came, strange = last.tolist(), came.tolist(), strange.tolist()
-        for text, at in zip(segments, base.tolist(), strict=True):
-            found, place = [], at + len(text)
-            while place > at:
-                if strange[place - 1]:
-                    place -= 1
-                    found += [self.byte[b] for b in text[place - at].encode("utf-8", "surrogatepass")[::-1]]
-                else:
-                    found.append(last[place])
-                    place = came[place]
-            out.append(found[::-1])
-        return out
-
-    def learn(self, segments: set[str]) -> None:
-        """Encode segments and remember them."""
-        plain = sorted(s for s in segments if not s.startswith(SPACE * 2))
-        for s in segments.difference(plain):
-            bare = s.lstrip(SPACE)
-            cut = len(s) - len(bare)
-            # All but the last of the run merge among themselves, unless nothing follows.
-            self.known[s] = self.written(self.merged(s)) if len(s) < 200 else self.run(cut, bare)
+        self.settle()
+        # Back from the ends, a piece of every segment at a time.
+        at, live = base + lengths, np.flatnonzero(lengths > 0)
+        steps: list[tuple[np.ndarray, np.ndarray]] = []
+        while len(live):
+            here = at[live]
+            odd = strange[here - 1]
+            steps.append((live, np.where(odd, -1 - points[here - 1].astype(np.int64), last[here])))
+            at[live] = np.where(odd, here - 1, came[here])
+            live = live[at[live] > base[live]]
+        count = np.zeros(len(segments), dtype=np.int64)
+        for live, _ in steps:
+            count[live] += 1
+        offsets = np.concatenate(([0], np.cumsum(count)))
+        flat = np.zeros(int(offsets[-1]), dtype=np.int64)
+        for k, (live, piece) in enumerate(steps):
+            flat[offsets[live + 1] - 1 - k] = piece
+        return flat, offsets
+
+    def keys(self, text: str) -> list[str]:
+        """The segments of a text: those with one U+2581 in front without it, others as they are."""
+        if self.breaks and not (SPACE in text or "  " in text or " \n" in text or text[0] in " \n" or text[-1] == " "):
+            return text.replace("\n", " \n").split(" ")
+        found = self.segment.findall(SPACE + text.replace(" ", SPACE))
+        return [x[1:] if x[0] == SPACE and x[1:2] != SPACE else x for x in found]
+
+    def learn(self, keys: list[str]) -> None:
+        """Encode and decode the segments of keys and remember them."""
         at = 0
-        while at < len(plain):
-            stop, size = at, 0
-            while stop < len(plain) and size < AT_ONCE:
-                size += len(plain[stop]) + 1
+        while at < len(keys):
+            size, stop = 0, at
+            while stop < len(keys) and size < AT_ONCE:
+                size += len(keys[stop]) + 2
                 stop += 1
-            self.known.update(zip(plain[at:stop], self.relax(plain[at:stop]), strict=True))
+            plain, part = [], keys[at:stop]
+            for key in part:
+                # A line break is pieces of its own; what follows it has no U+2581.
+                plain.append("" if key[:1] == SPACE else key[1:] if self.breaks and key[:1] == "\n" else SPACE + key)
+            flat, offsets = self.relax(plain)
+            held, bounds = flat.astype(np.int32).tobytes(), (4 * offsets).tolist()
+            line_break = np.array(self.written(["\n"]), dtype=np.int32).tobytes()
+            strange = set(np.searchsorted(offsets, np.flatnonzero(flat < 0), "right").tolist())
+            same = not strange and "".join(map(self.text.__getitem__, flat.tolist())) == "".join(plain)
+            for i, (key, s) in enumerate(zip(part, plain, strict=True)):
+                ids = held[bounds[i] : bounds[i + 1]]
+                if i + 1 in strange:
+                    ids = np.array([y for x in flat[offsets[i] : offsets[i + 1]].tolist() for y in ([x] if x >= 0 else self.written([chr(-1 - x)]))], dtype=np.int32).tobytes()
+                if key[:1] == SPACE:
+                    ids = np.array(self.written(self.merged(key)), dtype=np.int32).tobytes()
+                elif not s or s is not key and s[0] != SPACE:
+                    ids = line_break + ids
+                self.known[key] = ids
+                if not same or key[:1] == SPACE:
+                    want = self.spaced(key)
+                    if (got := self.joined(np.frombuffer(ids, dtype=np.int32).tolist())) != want:
+                        self.odd[key] = got
+            self.letters += size
             at = stop
 
-    def run(self, spaces: int, bare: str) -> list[int]:
-        """A long segment with a run of U+2581 before it."""
-        tail = self.relax([SPACE + bare])[0] if bare else []
-        left = spaces - bool(bare)
-        wide = max(len(p) for p in self.id if not p.strip(SPACE))
-        return [self.id[SPACE * wide]] * (left // wide) + self.written(self.merged(SPACE * (left % wide))) + tail
+    def spaced(self, key: str) -> str:
+        """The segment of a key with spaces."""
+        return (key if key[:1] == SPACE or self.breaks and key[:1] == "\n" else SPACE + key).replace(SPACE, " ")
 
-    def encode(self, texts: list[str | None]) -> list[list[int] | None]:
-        split = [SEGMENT.findall(SPACE + t.replace(" ", SPACE)) if t else [] for t in texts]
+    def coded(self, texts: list[str | None]) -> list[tuple[bytes, str] | None]:
+        """(pieces as 32-bit numbers, the text they decode to) of each text."""
+        split = [self.keys(t) if t else [] for t in texts]
         wanted = set(chain.from_iterable(split))
         new = wanted.difference(self.known)
-        if len(self.known) + len(new) > MEMO:
-            self.known, self.older = {}, self.known
-            new = wanted
-        # What was known before the last clearing is taken over, so that common words stay.
-        older = self.older
-        back = {s: older[s] for s in new if s in older}
-        self.known.update(back)
-        self.learn(new.difference(back))
-        known = self.known.__getitem__
-        return [None if t is None else list(chain.from_iterable(map(known, s))) for t, s in zip(texts, split, strict=True)]
+        if len(self.known) + len(new) > MEMO or self.letters > MEMO_LETTERS:
+            self.known, self.older, self.letters, self.odd, new = {}, {} if self.odd else self.known, 0, {}, wanted
+        # What was known before the last clearing is taken over, so that common segments stay.
+        for key in (back := new.intersection(self.older)):
+            self.known[key] = self.older[key]
+            self.letters += len(key)
+        self.learn(sorted(new.difference(back)))
+        found: list[tuple[bytes, str] | None] = []
+        for t, keys in zip(texts, split, strict=True):
+            if t is None:
+                found.append(None)
+            elif SPACE in t or self.odd and not self.odd.keys().isdisjoint(keys):
+                parts = (self.odd[k] if k in self.odd else self.spaced(k) for k in keys)
+                found.append((b"".join(map(self.known.__getitem__, keys)), "".join(parts)[1:]))
+            else:
+                # Every segment decodes to itself, so the text does.
+                found.append((b"".join(map(self.known.__getitem__, keys)), t))
+        return found
 
-    def decode(self, ids: list[int]) -> str:
+    def encode(self, texts: list[str | None]) -> list[list[int] | None]:
+        return [x and np.frombuffer(x[0], dtype=np.int32).tolist() for x in self.coded(texts)]
+
+    def joined(self, ids: list[int]) -> str:
+        """What pieces stand for, the leading space too."""
         text, special, bytes_of = self.text, self.special, self.bytes_of
-        if min(ids, default=10**9) > max(bytes_of, default=-1):
+        if min(ids, default=10**9) > self.top:
             found = "".join(map(text.__getitem__, ids))
         else:
             found = b"".join(bytes([bytes_of[i]]) if i in bytes_of else b"" if i in special else text[i].encode() for i in ids).decode("utf-8", "replace")
-        found = found.replace(SPACE, " ")
+        return found.replace(SPACE, " ")
+
+    def decode(self, ids: list[int]) -> str:
+        found = self.joined(ids)
         return found[1:] if found.startswith(" ") else found
 
 
 @cache
 def load(path: str) -> Pieces:
     """The pieces of a file, kept by a worker process for its later tasks."""
-    gc.disable()  # what is remembered are lists of numbers, without cycles, and very many
     return Pieces(path)
 
 
-def lists(ids: list[list[int] | None]) -> pa.Array:
+def lists(ids: list[bytes | None]) -> pa.Array:
     """Rows of pieces as an Arrow array, by way of one flat array."""
-    sizes = np.fromiter((len(x) if x else 0 for x in ids), dtype=np.int32, count=len(ids))
+    sizes = np.fromiter((len(x) // 4 if x else 0 for x in ids), dtype=np.int32, count=len(ids))
     offsets = np.concatenate((np.zeros(1, dtype=np.int32), np.cumsum(sizes, dtype=np.int32)))
-    flat = np.fromiter(chain.from_iterable(x for x in ids if x), dtype=np.int32, count=int(offsets[-1]))
+    flat = np.frombuffer(b"".join(x for x in ids if x), dtype=np.int32)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat), mask=pa.array([x is None for x in ids], pa.bool_()))
 
 
@@ -287,10 +370,10 @@ def encode(docs: DataFrame, path: str = MODEL) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = load(path)
-        for piece in pieces(batches):
+        for piece in pieces(batches, ROWS, BYTES):
             texts = piece.column(1).to_pylist()
-            ids = own.encode(texts)
-            decoded = [None if x is None else own.decode(x) for x in ids]
+            found = own.coded(texts)
+            ids, decoded = [x and x[0] for x in found], [x and x[1] for x in found]
             exact = [None if t is None else t == d for t, d in zip(texts, decoded, strict=True)]
             columns = [piece.column(0), lists(ids), pa.array(decoded, pa.string()), pa.array(exact, pa.bool_())]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "decoded", "exact"])
