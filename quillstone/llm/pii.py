@@ -14,10 +14,15 @@ be in an entity, so cutting the text there changes nothing.
 
 It is trained on at most `sample` documents (smallest hash of doc_id), whose base
 spans are the labels, each also in the other spellings of `VARIANTS`, and on numbers
-that are no personal data. An added span overlaps no base span.
+that are no personal data; of these, on at most `most` clusters of at most `widest` words
+(all of a text is searched, whatever its clusters are). An added span overlaps no base span.
 
 Defined results: null counts as empty; empty texts have no spans; n_email, n_ip,
-n_card and n_phone count all spans, base and added; repeated rows give equal rows.
+n_card and n_phone count all spans, base and added; repeated rows give equal rows; rows
+with a null doc_id give rows with a null doc_id and are not learnt from; texts, clusters and numbers of
+any length are read whole; of segmentations of equal score the first found (by start, then
+kind) is taken; an empty table gives an empty one. Only doc_id and text are read, whatever
+other columns are called.
 """
 
 from __future__ import annotations
@@ -81,7 +86,7 @@ def base(text: str) -> list[tuple[int, int, int]]:
             for i in range(0, len(parts) - 3, 4):
                 four = parts[i : i + 4]
                 size = sum(map(len, four)) + 3
-                if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in four):
+                if all(len(q := p.lstrip("0")) <= 3 and int(q or 0) <= 255 for p in four):
                     found.append((at, 1, at + size))
                 at += size + 1
     for m in CARD.finditer(text):
@@ -265,15 +270,17 @@ def lessons(texts: list[str], seed: int = 17) -> list[tuple[str, list[tuple[int,
     out = []
     for text in texts:
         spans = base(text)
+        furthest = list(accumulate((e for _, _, e in spans), max))
         for words in clusters(text):
             truth, last = [], 0
-            for s, k, e in spans:
-                inside = [x for x, (a, b) in enumerate(words) if a < e and b > s]
+            starts, ends = [a for a, _ in words], [b for _, b in words]
+            for s, k, e in spans[bisect_right(furthest, words[0][0]) : bisect_left(spans, (words[-1][1],))]:
+                inside = range(bisect_right(ends, s), bisect_left(starts, e))
                 if inside and trimmed(text, words[inside[0]][0], words[inside[-1]][1]) == (s, e) and inside[0] >= last and len(inside) <= LONGEST:
                     truth.append((inside[0], inside[-1] + 1, k))
                     last = inside[-1] + 1
             out.append((text, words, truth))
-        for s, k, e in spans[:3]:
+        for s, k, e in spans:
             digits = only_digits(text[s:e])
             around = (text[max(0, s - 40) : s].rpartition(" ")[0], text[e : e + 40].partition(" ")[2])
             for spell in VARIANTS.get(KINDS[k], []) if len(digits) >= 10 else []:
@@ -293,10 +300,10 @@ def lessons(texts: list[str], seed: int = 17) -> list[tuple[str, list[tuple[int,
     return out
 
 
-def fit(texts: list[str], *, epochs: int = 6, rate: float = 0.3, most: int = 1_500, seed: int = 17) -> Field:
-    """Fit on the base spans of texts; at most `most` clusters are learnt from."""
+def fit(texts: list[str], *, epochs: int = 6, rate: float = 0.3, most: int = 1_500, widest: int = 400, seed: int = 17) -> Field:
+    """Fit on the base spans of texts; at most `most` clusters of at most `widest` words are learnt from."""
     field, seen = Field(), {}
-    known = [x for x in lessons(texts, seed) if len(x[1]) <= 60]
+    known = [x for x in lessons(texts, seed) if len(x[1]) <= widest]
     rng = np.random.default_rng(seed)
     known = [known[i] for i in rng.permutation(len(known))[:most]]
     for epoch in range(epochs):

@@ -127,3 +127,48 @@ def test_long_clusters_are_decoded_whole(field, before):
     head = "12 " * before
     own, every = pii.spans(f"{head}(415) 555-2671 now", field)
     assert own == [] and (len(head), 3, len(head) + 14) in every
+
+
+@pytest.mark.parametrize("t", ["1.2.3." + "0" * 5000 + "1", "0" * 10**6 + ".0.0.0", "1.2.3.4." * 100_000, "9" * 10**6, "+" + "1 " * 500_000, "a@" + "b." * 300_000 + "c"])
+def test_long_numbers_and_zeros(t):
+    found = pii.base(t)
+    assert found == sorted(found)
+    if t.startswith("1.2.3.0"):
+        assert found == [(0, 1, len(t))]
+
+
+def planted(rng):
+    """(text, spans) of numbers that base patterns don't find."""
+    parts, spans, at = [], [], 0
+    for _ in range(6):
+        a, b, c = rng.randrange(200, 999), rng.randrange(200, 999), rng.randrange(1000, 9999)
+        number = rng.choice([f"({a}) {b}-{c}", f"{a}-{b}-{c}"])
+        before = " ".join(rng.choices(["call", "office", "or", "reach", "desk", "tel", "the", "of"], k=rng.randint(5, 9))) + " "
+        parts += [before, number, " "]
+        at += len(before)
+        spans.append((at, 3, at + len(number)))
+        at += len(number) + 1
+    return "".join(parts), spans
+
+
+def test_recall_of_added_phones(field):
+    rng = random.Random(11)
+    want = hit = 0
+    for _ in range(40):
+        t, truth = planted(rng)
+        own, every = pii.spans(t, field)
+        want += len(truth)
+        hit += len(set(truth) & (set(every) - set(own)))
+    assert hit / want > 0.9, hit / want
+
+
+def test_plain_numbers_are_left_alone(field):
+    rng = random.Random(12)
+    added = total = 0
+    for _ in range(100):
+        d = "".join(rng.choices("0123456789", k=14))
+        t = f"the item {rng.choice(pii.PLAIN)(d)} of the list"
+        own, every = pii.spans(t, field)
+        added += len(every) - len(own)
+        total += 1
+    assert added / total < 0.1, added
