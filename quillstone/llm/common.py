@@ -60,18 +60,21 @@ def held_out(column: str = "doc_id"):
 
 
 def labelled(docs: DataFrame, labels: DataFrame, target: str, bound: int, *, fold: bool) -> list:
-    """At most `bound` rows (text, target) that a classifier may learn from.
+    """At most `bound` rows (doc_id, text, target) that a classifier may learn from, sorted by doc_id.
 
     The rows are those with the smallest hash of doc_id, so the sample is the same
-    on every run. Its ids are at most `bound` longs, which makes their broadcast
-    bounded. With fold, rows of the held-out fifth are never taken.
+    on every run and however the tables are laid out. Its ids are at most `bound` longs,
+    which makes their broadcast bounded. A doc_id with several labels has the greatest one,
+    one with several texts the least one (null: empty). With fold, rows of the held-out
+    fifth are never taken.
     """
     pick = labels.select("doc_id", F.col(target).cast("int").alias("target")).dropna()
     if fold:
         pick = pick.filter(~held_out())
-    pick = pick.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
+    pick = pick.groupBy("doc_id").agg(F.max("target").alias("target")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
     rows = docs.select("doc_id", "text").join(F.broadcast(pick), "doc_id")
-    return rows.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "target").collect()
+    rows = rows.groupBy("doc_id").agg(F.min(F.coalesce("text", F.lit(""))).alias("text"), F.max("target").alias("target"))
+    return sorted(rows.collect(), key=lambda r: r.doc_id)
 
 
 def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 40) -> DataFrame:
