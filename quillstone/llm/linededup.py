@@ -17,7 +17,7 @@ at which both cuts meet.
    its first place are repeated, whichever document that was in, so other uses of a line
    hide nothing. Repeated lines that touch are one run, which so extends both ways as far as its
    copies do, even if parts of it have copies in different places.
-4. Texts that are equal as a whole (by 128 bits of hashes) are told first; later ones are
+4. Texts that are equal as a whole (by 96 bits of hashes) are told first; later ones are
    runs from end to end, and only the first of each is looked at by lines.
 
 Runs of `min_words` words or more are deleted; what was the first occurrence of a run
@@ -41,9 +41,9 @@ from quillstone.llm.common import cut
 #: Most words of a line; words of a long line before it may be cut behind any short word; words from which a line is a fingerprint on its own.
 LONGEST, UNCUT, PLENTY = 10, 2, 4
 #: A word and the blanks behind it, if no line ends there: with a sentence, a physical line, or before a capitalised word and three others.
-_WORD = r"\S++(?<![^\p{Lu}\p{P}][.!?]|。)[ \t]++(?!\p{Lu}\p{Ll}\S*+(?: \p{Ll}\S*+){3})"
+_WORD = r"\S++(?<![^\p{Lu}\p{P}][.!?])[ \t]++(?!\p{Lu}\p{Ll}\S*+(?: \p{Ll}\S*+){3})"
 #: A line, its words as a group, or blanks alone.
-PIECE = rf"\s*+((?:{_WORD}){{0,{UNCUT}}}+(?:{_WORD}(?<! \S{{3,4}} )){{0,{LONGEST - UNCUT - 1}}}+\S++)\s*+|\s++"
+PIECE = rf"\s*+((?:{_WORD}){{0,{UNCUT}}}+(?:(?!\S{{3,4}}\s){_WORD}){{0,{LONGEST - UNCUT - 1}}}+\S++)\s*+|\s++"
 
 
 def _let(value: Column, body) -> Column:
@@ -121,10 +121,10 @@ def runs(docs: DataFrame, *, window: int = 2, reach: int = 1, min_words: int = 2
     if not 0 < window <= max(1, min_words // LONGEST) or reach < window - 1:
         raise ValueError("a window must fit in min_words words and reach must be at least one line less, or runs of few lines are missed")
     own = ["doc", "t"]
-    keyed = [F.col("doc_id").cast("long").alias("doc"), F.xxhash64("text").alias("t")]
-    values = docs.filter(F.col("doc_id").isNotNull()).select(*keyed, F.xxhash64(F.lit(7), "text").alias("u"), _values(_lines(F.col("text"), 1)).alias("v"))
+    keyed = [F.col("doc_id").cast("long").alias("doc"), F.hash("text").alias("t")]
+    values = docs.filter(F.col("doc_id").isNotNull()).select(*keyed, F.xxhash64("text").alias("u"), _values(_lines(F.col("text"), 1)).alias("v"))
     values = cut(values).filter(F.size("v") >= window)
-    # Whole copies are told by 128 bits of hashes of the texts; only the first of each is looked at by lines.
+    # Whole copies are told by 96 bits of hashes of the texts; only the first of each is looked at by lines.
     texts = cut(values.select(*own, "u", _words(F.col("v")).alias("words")))
     firsts = cut(texts.groupBy("t", "u").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first != last").drop("last"))
     copies = cut(texts.join(firsts, ["t", "u"]).filter("doc != first").select(*own, "words").distinct())
@@ -133,7 +133,7 @@ def runs(docs: DataFrame, *, window: int = 2, reach: int = 1, min_words: int = 2
     marks = values.select(*own, F.posexplode(_fingerprints(F.col("v"), window)).alias("at", "h")).filter("h is not null")
     # Cut, so that the joins below shuffle both sides and a crowded key can be split.
     shared = cut(marks.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h"))
-    places = marks.join(shared, "h").groupBy(own).agg(F.collect_set("at").alias("ats"))
+    places = cut(marks.join(shared, "h").groupBy(own).agg(F.collect_set("at").alias("ats")))
 
     keys = values.join(places, own).select(*own, F.explode(_windows(F.col("v"), F.col("ats"), window, reach)).alias("k"))
     keys = keys.select("k.h", "k.g", *own, "k.at")
