@@ -125,18 +125,17 @@ def runs(docs: DataFrame, *, window: int = 2, reach: int = 1, min_words: int = 2
     values = docs.filter(F.col("doc_id").isNotNull()).select(*keyed, F.xxhash64("text").alias("u"), _values(_lines(F.col("text"), 1)).alias("v"))
     values = cut(values).filter(F.size("v") >= window)
     # Whole copies are told by 96 bits of hashes of the texts; only the first of each is looked at by lines.
-    texts = cut(values.select(*own, "u", _words(F.col("v")).alias("words")))
+    texts = values.select(*own, "u", _words(F.col("v")).alias("words"))
     firsts = cut(texts.groupBy("t", "u").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first != last").drop("last"))
     copies = cut(texts.join(firsts, ["t", "u"]).filter("doc != first").select(*own, "words").distinct())
-    values = values.join(copies.select(own), own, "left_anti").select(*own, "v")
 
-    marks = values.select(*own, F.posexplode(_fingerprints(F.col("v"), window)).alias("at", "h")).filter("h is not null")
+    marks = values.select("doc", F.posexplode(_fingerprints(F.col("v"), window)).alias("at", "h")).filter("h is not null")
     # Cut, so that the joins below shuffle both sides and a crowded key can be split.
     shared = cut(marks.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h"))
-    places = cut(marks.join(shared, "h").groupBy(own).agg(F.collect_set("at").alias("ats")))
-
-    keys = values.join(places, own).select(*own, F.explode(_windows(F.col("v"), F.col("ats"), window, reach)).alias("k"))
-    keys = keys.select("k.h", "k.g", *own, "k.at")
+    places = marks.join(shared, "h").groupBy("doc").agg(F.collect_set("at").alias("ats"))
+    near = values.select(*own, "v").join(places, "doc").join(copies.select(own), own, "left_anti")
+    near = cut(near.select(*own, _windows(F.col("v"), F.col("ats"), window, reach).alias("k")))
+    keys = near.select(*own, F.explode("k").alias("k")).select("k.h", "k.g", *own, "k.at")
     place = F.struct(*own, "at")
     first = cut(keys.groupBy("h", "g").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first != last").drop("last"))
     later = keys.join(first, ["h", "g"]).filter(F.col("first") < place).groupBy(own).agg(F.collect_set("at").alias("hits"))
