@@ -13,9 +13,9 @@ at which both cuts meet.
 2. Places. Fingerprints that occur more than once are joined to their places; windows
    `reach` lines either way of these places are the only ones that can be in a repeated run.
 3. Extension. Each of these windows is joined to its own first place (by doc_id, then a
-   hash of the text and position) by 128 bits of hashes; the lines of a window that is not at
+   hash of the text and position) by a hash of 64 bits; the lines of a window that is not at
    its first place are repeated, whichever document that was in, so other uses of a line
-   hide nothing. Repeated lines that touch are one run, which so extends both ways as far as its
+   hide nothing. Of 10^10 windows some three pairs of different ones have the same hash. Repeated lines that touch are one run, which so extends both ways as far as its
    copies do, even if parts of it have copies in different places.
 4. Texts that are equal as a whole (by 96 bits of hashes) are told first; later ones are
    runs from end to end, and only the first of each is looked at by lines.
@@ -88,14 +88,14 @@ def _fingerprints(v: Column, window: int) -> Column:
 
 
 def _windows(v: Column, places: Column, window: int, reach: int) -> Column:
-    """(h, g, at) of the windows around places: 128 bits of hashes and the first line."""
+    """(h, at) of the windows around places: a hash and the first line."""
 
     def near(at: Column) -> Column:
         return F.sequence(F.greatest(at - reach, F.lit(0)), F.least(at + reach, F.size(v) - window))
 
     def key(i: Column) -> Column:
         lines = [F.get(v, i + k) for k in range(window)]
-        return F.struct(F.xxhash64(*lines).alias("h"), F.xxhash64(F.lit(7), *lines).alias("g"), i.alias("at"))
+        return F.struct(F.xxhash64(*lines).alias("h"), i.alias("at"))
 
     return F.transform(F.array_distinct(F.flatten(F.transform(places, near))), key)
 
@@ -135,10 +135,10 @@ def runs(docs: DataFrame, *, window: int = 2, reach: int = 1, min_words: int = 2
     places = marks.join(shared, "h").groupBy("doc").agg(F.collect_set("at").alias("ats"))
     near = values.select(*own, "v").join(places, "doc").join(copies.select(own), own, "left_anti")
     near = cut(near.select(*own, _windows(F.col("v"), F.col("ats"), window, reach).alias("k")))
-    keys = near.select(*own, F.explode("k").alias("k")).select("k.h", "k.g", *own, "k.at")
+    keys = near.select(*own, F.explode("k").alias("k")).select("k.h", *own, "k.at")
     place = F.struct(*own, "at")
-    first = cut(keys.groupBy("h", "g").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first != last").drop("last"))
-    later = keys.join(first, ["h", "g"]).filter(F.col("first") < place).groupBy(own).agg(F.collect_set("at").alias("hits"))
+    first = cut(keys.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first != last").drop("last"))
+    later = keys.join(first, "h").filter(F.col("first") < place).groupBy(own).agg(F.collect_set("at").alias("hits"))
 
     gone = later.withColumn("whole", F.lit(None).cast("int")).unionByName(copies.filter(F.col("words") >= min_words).select(*own, F.lit(None).cast("array<int>").alias("hits"), F.col("words").alias("whole")))
     joined = docs.withColumns({f"__{c}": x for c, x in zip(own, keyed, strict=True)})
