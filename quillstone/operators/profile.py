@@ -8,6 +8,7 @@ The frame is best cached by the caller if it is costly to compute.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
@@ -25,6 +26,8 @@ CODES, IDENTIFIER_SHARE, PROSE_LENGTH = 10, 0.95, 40
 BOOLEANS = ({"true", "false"}, {"yes", "no"}, {"y", "n"}, {"1", "0"}, {"t", "f"}, {"да", "не"})
 #: Measures of a job.
 WIDE = 60
+#: Columns whose values are grouped at a time.
+AT_ONCE = 4
 NUMBERS = ("tinyint", "smallint", "int", "bigint", "float", "double")
 
 
@@ -93,6 +96,20 @@ def value_counts(frame: DataFrame, column: str) -> DataFrame:
     return frame.filter(quoted(column).isNotNull()).groupBy(quoted(column).alias("v")).agg(F.count(F.lit(1)).alias("n"), first.alias("first"))
 
 
+def _values(frame: DataFrame, column: str, kind: str) -> dict:
+    """What is told from the distinct values of a column; they are grouped once."""
+    counts = value_counts(frame, column).persist()
+    try:
+        codes = F.count(X.real(F.col("v"))) if kind == "text" else F.lit(0)
+        rank = F.struct(-F.col("n"), F.col("first"))
+        found = counts.agg(
+            F.count(F.lit(1)).alias("n_distinct"), F.min_by("v", rank).alias("top"), F.max("n").alias("top_n"), F.min("v").alias("low"), F.max("v").alias("high"), codes.alias("n_codes")
+        )
+        return found.first().asDict() | {"examples": [r.v for r in counts.orderBy("first").limit(5).collect()]}
+    finally:
+        counts.unpersist()
+
+
 def _text_measures(c: Column) -> Iterator[tuple[str, Column]]:
     value, real = X.strip(c), X.real(c)
     n = X.number(real)
@@ -135,6 +152,9 @@ def profile_frame(frame: DataFrame, columns: list[str] | None = None) -> list[Pr
     medians = {c: F.median(finite(quoted(c))) for c in names if kinds[c] == "number"}
     medians = measured(frame, medians, 12)
     n_rows, whole_rows = found["rows"], None
+    with ThreadPoolExecutor(AT_ONCE) as pool:  # the jobs of a column are small; some run at a time
+        read = [c for c in names if kinds[c] != "other"]
+        values = dict(zip(read, pool.map(lambda c: _values(frame, c, kinds[c]), read), strict=True))
     out = []
     for c in names:
         m = {k.partition("\0")[2]: v for k, v in found.items() if k.startswith(f"{c}\0")}
@@ -144,20 +164,19 @@ def profile_frame(frame: DataFrame, columns: list[str] | None = None) -> list[Pr
             p.semantic_type, p.note = "text", "nested column; not supported, so not examined"
             p.n_distinct = -1
             continue
-        counts = value_counts(frame, c)
-        top = counts.orderBy(F.desc("n"), "first").limit(1).collect()
-        p.n_distinct = counts.count()
+        seen = values[c]
+        p.n_distinct, p.examples = seen["n_distinct"], seen["examples"]
         if p.kind == "number":
             p.stats = {k: m[k] for k in ("min", "max", "mean", "std", "skew", "pct_zero", "n_infinite")} | {"median": medians[c]}
         elif p.kind == "text":
             p.stats = {k: m[k] for k in ("mean_length", "max_length")}
-        pair = {str(r.v).strip().lower() for r in counts.limit(2).collect()} if p.n_distinct == 2 else set()
+            m["n_codes"] = seen["n_codes"]
+        pair = {str(seen[k]).strip().lower() for k in ("low", "high")} if p.n_distinct == 2 else set()
         if whole_rows is None and p.kind == "text":
             whole_rows = frame.select([quoted(x) for x in names if kinds[x] != "other"]).distinct().count()
         p.semantic_type, p.note = infer_type(p, m, pair, whole_rows or 0)
-        if top and p.semantic_type in ("boolean", "categorical", "constant", "text"):
-            p.top_value, p.top_share = top[0].v, top[0].n / max(1, n_rows)
-        p.examples = [r.v for r in counts.orderBy("first").limit(5).collect()]
+        if p.n_distinct and p.semantic_type in ("boolean", "categorical", "constant", "text"):
+            p.top_value, p.top_share = seen["top"], seen["top_n"] / max(1, n_rows)
     return out
 
 
@@ -181,7 +200,7 @@ def infer_type(p: Profile, m: dict, pair: set[str], whole_rows: int) -> tuple[st
     if not m["n_real"]:
         return "empty", "only blanks in disguise"
     if m["numeric_share"] >= NUMERIC_SHARE:
-        if p.n_distinct <= CODES and m["integral"]:
+        if m["n_codes"] <= CODES and m["integral"]:
             return "categorical", "numbers used as codes"
         return "numeric", "numbers kept as text" if m["numeric_share"] == 1 else "numbers with a few strays"
     if m["numeric_share"] <= 0.5 and m["shaped"] >= DATETIME_SHARE and m["dates"] >= DATETIME_SHARE:

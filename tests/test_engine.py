@@ -297,3 +297,23 @@ def test_stream(spark, tmp_path):
     q.processAllAvailable()
     q.stop()
     assert spark.read.parquet(f"{tmp_path}/ok").count() == 2 and spark.read.parquet(f"{tmp_path}/bad").count() == 1
+
+
+def test_rule_params_and_defaults(spark):
+    f = frame(spark, "a string, b double, c double", [("1", 1.0, 2.0), ("x", 3.0, 2.0), (None, 2.0, 2.0)])
+    for name in ("type", "expected"):
+        assert rules.check_rule(f, rules.Rule("a", "type", {name: "numeric"})).rows == 1
+    assert rules.check_rule(f, rules.Rule("b", "compare", {"other": "c"})).rows == 1  # at most, unless said otherwise
+
+
+def test_codes_are_counted_without_blanks(spark):
+    f = frame(spark, "code string", [(v,) for v in [str(i) for i in range(1, 10)] * 40 + ["?", "NA"]])
+    got = profile.profile_frame(f)[0]
+    assert (got.semantic_type, got.note, got.n_distinct) == ("categorical", "numbers used as codes", 11)
+
+
+def test_profiles_leave_nothing_cached(spark):
+    held = spark.sparkContext._jsc.sc().getPersistentRDDs
+    before = held().size()
+    profile.profile_frame(frame(spark, "a string, b double", [("x", 1.0)] * 5))
+    assert held().size() == before
