@@ -17,19 +17,23 @@ space). Passages may start at any word.
 4. Each candidate is confirmed by the exact edit distance of the item to the best
    passage around the window.
 
-Items reach the executors in blocks of at most `block` items, so what is shipped is
-bounded; more items mean more passes over the documents.
+Items reach the executors in blocks of about `block` words, so what is shipped and held is
+bounded; more words mean more passes over the documents. A worker builds the index of a
+block once. The walks' random bits are hashes of (walk, step, symbol), whatever the items.
 
 Defined results: null, empty and blank texts and items match nothing; items of fewer
 than 1 / max_edits words are matched word for word; repeated items each give rows;
-rows with a null doc_id are searched and give null ids, and a null item_id gives -1.
-Only doc_id and text, item_id and text are read.
+rows with a null doc_id are searched and give null ids, and a null item_id gives -1; of
+passages with equally few edits the first is taken; texts and items of any length are
+read whole; an empty table on either side gives none. Only doc_id and text, item_id and
+text are read, whatever other columns are called.
 """
 
 from __future__ import annotations
 
 from collections import defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -38,8 +42,10 @@ from pyspark.sql import functions as F
 
 from quillstone.llm.common import pieces
 
-#: Items searched for in one pass over the documents.
-BLOCK = 5_000
+#: Words of the items searched for in one pass over the documents; words of windows held at once; bytes of remembered bits.
+BLOCK, AT_ONCE, REMEMBERED = 2_000_000, 2_000_000, 1 << 25
+#: Bytes of text searched at once.
+BYTES = 8_000_000
 SCHEMA = "doc_id long, item_id long, edits int, first_word int, last_word int"
 
 
@@ -91,9 +97,8 @@ class Index:
         self.max_edits, self.repeats, self.bits = max_edits, repeats, bits
         other, pad = len(self.words), len(self.words) + 1
         rng = np.random.default_rng(seed)
-        longest = max((len(x) for _, x in self.items), default=0)
-        # The walks' random bits by repeat, step and symbol, from a fixed seed.
-        self.steps = [rng.integers(0, 2, (3 * longest, pad + 1), dtype=np.uint8) for _ in range(repeats if longest <= 400 else 0)]
+        self.symbols = rng.integers(0, 2**63, pad + 1, dtype=np.uint64)
+        self.bits_of = lru_cache(max(8, REMEMBERED // (8 * (pad + 1))))(self.drawn)
         self.mix = rng.integers(1, 2**62, bits, dtype=np.int64) | 1
         self.other, self.pad = other, pad
         self.sizes = {}
@@ -107,21 +112,25 @@ class Index:
             starts = np.arange(len(members)) * n
             tables = []
             for t in range(repeats):
-                table = defaultdict(list)
-                for m, key in zip(members, self.keys(rows, starts, n, t, read[t]).tolist(), strict=True):
-                    table[key].append(m)
-                tables.append((np.array(sorted(table), dtype=np.int64), dict(table)))
+                keys = self.keys(rows, starts, n, t, read[t])
+                order = np.argsort(keys, kind="stable")
+                tables.append((keys[order], np.array(members)[order]))
             most = np.zeros(other + 1, dtype=np.int32)
             for m in members:
                 word, times = np.unique(self.items[m][1], return_counts=True)
                 most[word] = np.maximum(most[word], times)
             self.sizes[n] = (int(max_edits * n), read, tables, most)
 
+    def drawn(self, t: int, block: int) -> np.ndarray:
+        """For each symbol the 64 random bits of steps 64 * block and on of walk t."""
+        with np.errstate(over="ignore"):
+            x = self.symbols + np.uint64(t * 1_000_003 + block + 1) * np.uint64(0x9E3779B97F4A7C15)
+            x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+            x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))
+
     def bit(self, t: int, j: int, symbol: np.ndarray) -> np.ndarray:
-        if self.steps:
-            return self.steps[t][j][symbol]
-        mixed = (symbol.astype(np.uint64) + np.uint64(t * 1_000_003 + j)) * np.uint64(0x9E3779B97F4A7C15)
-        return ((mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(63)).astype(np.int64)
+        return (self.bits_of(t, j // 64)[symbol] >> np.uint64(j % 64) & np.uint64(1)).astype(np.int64)
 
     def keys(self, words: np.ndarray, starts: np.ndarray, n: int, t: int, read: np.ndarray) -> np.ndarray:
         """The sampled symbols of walk t over words[start:start + n] of each start, as one number."""
@@ -144,8 +153,9 @@ class Index:
         known = np.concatenate(([0], np.cumsum((most > 0)[ids], dtype=np.int32)))
         starts = np.flatnonzero(known[n:] - known[:-n] >= n - k)
         kept = []
-        for at in range(0, len(starts), 20_000):
-            part = starts[at : at + 20_000]
+        step = max(1, AT_ONCE // n)
+        for at in range(0, len(starts), step):
+            part = starts[at : at + step]
             words = np.sort(ids[part[:, None] + np.arange(n)], axis=1)
             # Of sorted words, one counts unless the word stands `most` places before it too.
             times = most[words]
@@ -176,10 +186,10 @@ class Index:
                 continue
             for t in range(self.repeats):
                 keys = self.keys(ids, starts, n, t, read[t])
-                there, table = tables[t]
-                where = np.minimum(np.searchsorted(there, keys), len(there) - 1)
-                for i in np.flatnonzero(there[where] == keys).tolist():
-                    pairs.update((m, int(starts[i])) for m in table[int(keys[i])])
+                there, members = tables[t]
+                first, stop = np.searchsorted(there, keys, "left"), np.searchsorted(there, keys, "right")
+                for i in np.flatnonzero(stop > first).tolist():
+                    pairs.update((int(m), int(starts[i])) for m in members[first[i] : stop[i]])
         # Candidates whose surroundings overlap are checked as one stretch of text.
         stretches: dict[tuple[int, int], list[list[int]]] = defaultdict(list)
         for m, start in sorted(pairs):
@@ -204,6 +214,16 @@ class Index:
         return best
 
 
+_built: list = []
+
+
+def built(items: list[tuple[int, str]], *how) -> Index:
+    """The index of a block, kept by a worker for its later tasks; a broadcast value is the same object in all of them."""
+    if not _built or _built[0] is not items or _built[1] != how:
+        _built[:] = [items, how, Index(items, *how)]
+    return _built[2]
+
+
 def matches(
     docs: DataFrame,
     benchmark: DataFrame,
@@ -217,8 +237,8 @@ def matches(
     """(doc_id, item_id, edits, first_word, last_word): the best passage for each document and item."""
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("long"), "text").filter(F.col("text").isNotNull())
-    n = items.count()
-    blocks = -(-n // block)
+    words = items.agg(F.sum(F.size(F.split(F.btrim("text"), r"\s+")))).first()[0] or 0
+    blocks = -(-words // block)
     docs = docs.select(F.col("doc_id").cast("long"), "text")
     found = spark.createDataFrame([], SCHEMA)
     for b in range(blocks):
@@ -226,8 +246,8 @@ def matches(
         held = spark.sparkContext.broadcast(sorted((r.item_id if r.item_id is not None else -1, r.text) for r in own.collect()))
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
-            index = Index(held.value, max_edits, repeats, bits, seed)
-            for piece in pieces(batches, 1024):
+            index = built(held.value, max_edits, repeats, bits, seed)
+            for piece in pieces(batches, 1024, BYTES):
                 ids = piece.column(0).to_pylist()
                 if rows := index.search(piece.column(1).to_pylist()):
                     columns = list(zip(*[(ids[r[0]], *r[1:]) for r in rows], strict=True))

@@ -1,5 +1,6 @@
 import random
 
+import pytest
 from quillstone.llm import decontaminate
 
 
@@ -77,3 +78,20 @@ def test_empty_tables_and_null_ids(spark):
     rows = decontaminate.matches(docs, item).collect()
     assert sorted((r.doc_id or 0, r.item_id, r.edits, r.first_word, r.last_word) for r in rows) == [(0, 7, 0, 1, 4), (1, 7, 0, 1, 4)]
     assert [r.doc_id for r in decontaminate.clean(docs, item).collect()] == [None]
+
+
+@pytest.mark.parametrize("n", [60, 401, 2000])
+def test_recall_of_edited_copies_of_any_length(n):
+    rng = random.Random(n)
+    words = [f"w{i}" for i in range(4000)]
+    items = [(i, " ".join(rng.choices(words, k=n))) for i in range(8)]
+    index = decontaminate.Index(items, 0.2, 16, 3, 11)
+    found = 0
+    for i, text in items:
+        own = text.split()
+        for _ in range(n // 10):  # a tenth of the words edited
+            at = rng.randrange(len(own))
+            own[at : at + 1] = rng.choice([[], [rng.choice(words)], [own[at], rng.choice(words)]])
+        hits = index.search([" ".join(rng.choices(words, k=50) + own + rng.choices(words, k=50))])
+        found += any(h[1] == i for h in hits)
+    assert found >= 7
