@@ -60,7 +60,8 @@ def op8_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every candidate with its score; secret tells what the forest keeps."""
-    return secrets.Scanner(secrets.examples(spark)).scan(table(spark, sf_dir, "documents"))
+    docs = table(spark, sf_dir, "documents")
+    return secrets.fitted(docs).scan(docs)
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
