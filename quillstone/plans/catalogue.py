@@ -14,7 +14,7 @@ from quillstone.functions import text as X
 from quillstone.functions.text import ROW_ID, quoted
 from quillstone.operators import anomalies, checks, evidence, features, profile, repair, rules
 from quillstone.plans import planner
-from quillstone.sources.reader import from_frame
+from quillstone.sources.reader import from_frame, read_table
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -33,7 +33,7 @@ DIRTY = {
     "d_stubs": "SELECT s_suppkey AS id, CASE WHEN s_suppkey % 10 = 0 THEN 'x' ELSE s_name END AS v FROM supplier",
     "d_dead": "SELECT c_custkey AS id, 'BGN' AS fixed, CAST(NULL AS VARCHAR(10)) AS nothing, c_name AS name, c_mktsegment AS v FROM customer",
     "d_foot": "SELECT s_suppkey AS id, s_name AS v, s_acctbal AS x FROM supplier UNION ALL SELECT 1000000, NULL, NULL UNION ALL SELECT 1000001, 'TOTAL', 0.0",
-    "d_mojibake": "SELECT doc_id AS id, CASE WHEN doc_id % 3 = 0 THEN concat(substr(text, 1, 12), 'Ã©â€Â') ELSE substr(text, 1, 20) END AS v FROM documents",
+    "d_mojibake": "SELECT doc_id AS id, CASE WHEN doc_id % 3 = 0 THEN replace(text, 'e', 'Ã©') ELSE text END AS v FROM documents",
     "d_items": "SELECT l_orderkey * 10 + l_linenumber AS id, l_shipdate AS shipped, o_orderdate AS ordered, l_quantity AS q, l_discount AS d, l_extendedprice AS p, l_returnflag AS f FROM lineitem JOIN orders ON l_orderkey = o_orderkey",
     "d_typed": "SELECT o_orderkey AS id, CASE WHEN o_orderkey % 41 = 0 THEN NULL WHEN o_orderkey % 37 = 0 THEN 'abc' WHEN o_orderkey % 31 = 0 THEN '5d' WHEN o_orderkey % 29 = 0 THEN ' 1e3 ' ELSE CAST(CAST(floor(o_totalprice) AS BIGINT) AS VARCHAR(20)) END AS v FROM orders",
     "d_nations": "SELECT c_custkey AS id, c_nationkey AS k, n_name AS name FROM customer JOIN nation ON c_nationkey = n_nationkey",
@@ -136,12 +136,22 @@ query("null_counts", "d_balance", "SELECT count(*) - count(x) AS x_missing, coun
 query("distinct_counts", "d_priority", "SELECT count(DISTINCT v) AS v_distinct, count(DISTINCT s) AS s_distinct, count(DISTINCT x) AS x_distinct FROM d_priority")(
     lambda f: f.sparkSession.createDataFrame([tuple(p.n_distinct for p in profile.profile_frame(f, ["v", "s", "x"]))], "v_distinct long, s_distinct long, x_distinct long")
 )
-query("semantic_type", "d_dead", "SELECT * FROM (VALUES ('fixed','constant'),('nothing','empty'),('name','identifier'),('v','categorical')) t(col, type)")(
+_DEAD = ", ".join(f"({n}, (SELECT count({c}) FROM d_dead), (SELECT count(DISTINCT {c}) FROM d_dead), (SELECT avg(length({c})) FROM d_dead))" for c, n in ((c, repr(c)) for c in ("fixed", "nothing", "name", "v")))
+_TYPED = (
+    "SELECT col, CASE WHEN present = 0 THEN 'empty' WHEN d = 1 THEN 'constant' WHEN d / n < 0.5 AND (d <= 50 OR d / n <= 0.05) THEN 'categorical' WHEN len >= 40 THEN 'text' WHEN d >= 0.95 * whole THEN 'identifier' ELSE 'categorical' END AS type "
+    f"FROM (VALUES {_DEAD}) t(col, present, d, len), (SELECT count(*) AS n, count(DISTINCT (fixed, nothing, name, v)) AS whole FROM d_dead)"
+)
+query("semantic_type", "d_dead", _TYPED)(
     lambda f: f.sparkSession.createDataFrame([(p.name, p.semantic_type) for p in profile.profile_frame(f)], "col string, type string")
 )
-query("type_counts", "d_dead", "SELECT * FROM (VALUES ('constant',CAST(1 AS BIGINT)),('empty',1),('identifier',1),('categorical',1)) t(type, n)")(
+query("type_counts", "d_dead", f"SELECT type, count(*) AS n FROM ({_TYPED}) GROUP BY type")(
     lambda f: f.sparkSession.createDataFrame(list(profile.type_counts(profile.profile_frame(f)).items()), "type string, n long")
 )
+_TOP = "(SELECT {c} FROM d_priority GROUP BY {c} ORDER BY count(*) DESC, min(id) LIMIT 1)"
+_SHARE = "(SELECT round(100.0 * max(n) / sum(n), 6) FROM (SELECT count(*) AS n FROM d_priority GROUP BY {c}))"
+query("profile_table", "d_priority", " UNION ALL ".join(f"SELECT '{c}' AS col, count(*) - count({c}) AS missing, count(DISTINCT {c}) AS n_distinct, {_TOP.format(c=c)} AS top_value, {_SHARE.format(c=c)} AS top_pct FROM d_priority" for c in "vs"))(
+    lambda f: profile.as_table(f.sparkSession, profile.profile_frame(f.drop("x"))).select(F.col("column").alias("col"), "missing", F.col("distinct").alias("n_distinct"), "top_value", r6("top_pct").alias("top_pct"))
+)
 
 # ---- checks
 
@@ -167,6 +177,7 @@ for _name, _source, _sql in (
     ("summary_rows", "d_foot", find("", "count(*) FILTER (WHERE v = 'TOTAL')", "d_foot", "high")),
 ):
     query(_name, _source, _sql)(run_check(_name))
+query("check_disguised_missing", "d_priority", find("v", f"count(*) FILTER (WHERE lower(trim(v)) IN ({TOKENS}))", "d_priority", "critical"))(run_check("disguised_missing"))
 
 
 @query("sentinel_at_the_top", "d_quantity", find("x", "count(*) FILTER (WHERE x = 99999.0)", "d_quantity", "medium"))
@@ -206,14 +217,18 @@ query("outliers", "events", f"WITH {_QUART} SELECT 'value' AS columns, count(*)
         [(",".join(x.columns), x.evidence["by_iqr"], x.evidence["by_mad"]) for x in checks.CHECKS["outliers"](checks.Context(f.select("value"), profile.profile_frame(f.select("value"))))], "columns string, by_iqr long, by_mad long"
     )
 )
-QUERIES["detect"] = lambda spark, sf_dir: _detect(spark, sf_dir)
+_SHOWN = "'{c}' AS name, '{sev}' AS severity, '{topic}' AS topic, '{on}' AS columns, '{action}' AS action, count(*) AS affected, round(count(*) / (SELECT count(*) FROM d_priority), 6) AS share"
 
 
-def _detect(spark, sf_dir):
-    from quillstone.operators.findings import as_table
-
-    f = loaded(spark, sf_dir, "d_priority")
-    return as_table(spark, checks.detect(f, target="s"))
+@query(
+    "detect", "d_priority",
+    f"SELECT {_SHOWN.format(c='disguised_missing', sev='critical', topic='missing', on='v', action='replace_disguised_missing')} FROM d_priority WHERE lower(trim(v)) IN ({TOKENS}) HAVING count(*) > 0 UNION ALL "
+    f"SELECT {_SHOWN.format(c='exact_duplicates', sev='medium', topic='duplicates', on='', action='drop_duplicate_rows')} FROM (SELECT row_number() OVER (PARTITION BY v, s, x ORDER BY id) AS k FROM d_priority) WHERE k > 1 HAVING count(*) > 0 UNION ALL "
+    rf"SELECT {_SHOWN.format(c='whitespace', sev='medium', topic='structure', on='v', action='normalise_categories')} FROM d_priority WHERE v <> trim(v) OR regexp_matches(v, '\s\s') HAVING count(*) > 0",
+)
+def _detect(f):
+    rows = [(x.check, x.severity, x.topic, ",".join(x.columns), x.suggestion.action, int(x.affected_rows), round(x.affected_share, 6)) for x in checks.detect(f, target="s")]
+    return f.sparkSession.createDataFrame(rows, "name string, severity string, topic string, columns string, action string, affected long, share double")
 
 
 # ---- rules
@@ -250,7 +265,11 @@ def _violations(f):
     return f.sparkSession.createDataFrame([(v.rule.column, v.rule.kind, v.rows) for v in found.violations], "col string, kind string, n long")
 
 
-@query("infer_rules", "d_priority", "SELECT 'v' AS col, 'not_null' AS kind UNION ALL SELECT 'v', 'allowed_values' UNION ALL SELECT 's', 'not_null' UNION ALL SELECT 's', 'allowed_values' UNION ALL SELECT 'x', 'not_null' UNION ALL SELECT 'x', 'range'")
+@query(
+    "infer_rules", "d_priority",
+    " UNION ALL ".join(f"SELECT '{c}' AS col, 'not_null' AS kind FROM d_priority HAVING count(*) = count({c})" for c in "vsx")
+    + "".join(f" UNION ALL SELECT '{c}', 'allowed_values' FROM d_priority HAVING count(DISTINCT {c}) BETWEEN 2 AND 20" for c in "vs") + " UNION ALL SELECT 'x', 'range' FROM d_priority HAVING count(x) > 0",
+)
 def _infer(f):
     return f.sparkSession.createDataFrame([(r.column, r.kind) for r in rules.infer_rules(f, profile.profile_frame(f))], "col string, kind string")
 
@@ -270,8 +289,8 @@ query("impute_mean", "d_balance", "SELECT id AS row_id, round(coalesce(x, (SELEC
 query("impute_mode", "d_balance", "SELECT id AS row_id, coalesce(v, (SELECT v FROM d_balance WHERE v IS NOT NULL GROUP BY v ORDER BY count(*) DESC, min(id) LIMIT 1)) AS v FROM d_balance")(lambda f: repair.apply_impute(f, repair.fit_impute(f, ["v"])).select(F.col(ROW_ID).alias("row_id"), "v"))
 query("impute_group_median", "d_balance", "SELECT id AS row_id, coalesce(x, m, (SELECT quantile_cont(x, 0.5) FROM d_balance)) AS x FROM d_balance LEFT JOIN (SELECT g, quantile_cont(x, 0.5) AS m FROM d_balance GROUP BY g) USING (g)")(lambda f: repair.apply_impute(f, repair.fit_impute(f, ["x"], group_by="g")).select(F.col(ROW_ID).alias("row_id"), "x"))
 query("was_missing", "d_balance", "SELECT id AS row_id, CASE WHEN x IS NULL THEN 1 ELSE 0 END AS flag FROM d_balance")(lambda f: repair.apply_impute(f, repair.fit_impute(f, ["x"]), add_indicator=True).select(F.col(ROW_ID).alias("row_id"), F.col("x_was_missing").cast("int").alias("flag")))
-for _method in ("iqr", "mad"):
-    _bound = {"iqr": ("a - 3*(b-a)", "b + 3*(b-a)"), "mad": ("q.m - 3.5*mad/0.6745", "q.m + 3.5*mad/0.6745")}[_method]
+for _method in ("iqr", "mad", "zscore"):
+    _bound = {"iqr": ("a - 3*(b-a)", "b + 3*(b-a)"), "mad": ("q.m - 3.5*mad/0.6745", "q.m + 3.5*mad/0.6745"), "zscore": ("mu - 3*sd", "mu + 3*sd")}[_method]
     query(f"cap_{_method}", "events", f"WITH {_QUART} SELECT event_id AS row_id, round(CASE WHEN value < {_bound[0]} THEN {_bound[0]} WHEN value > {_bound[1]} THEN {_bound[1]} ELSE value END, 6) AS value FROM events, q, m")(
         lambda f, how=_method: anomalies.apply_cap(f, anomalies.fit_cap(f, ["value"], how))[0].select(F.col("event_id").alias("row_id"), r6("value").alias("value"))
     )
@@ -282,20 +301,92 @@ def _plan(spark, sf_dir):
     return planner.as_table(spark, planner.build(checks.detect(f, target="s"), target="s"))
 
 
-QUERIES["repair_plan"] = _plan
-ORACLE["repair_plan"] = (
-    "SELECT * FROM (VALUES (1, 'before split', 'normalise_categories', 'v', 'whitespace'), (2, 'before split', 'replace_disguised_missing', 'v', 'disguised_missing'), "
-    "(3, 'before split', 'drop_duplicate_rows', '(whole table)', 'exact_duplicates'), (4, 'after split', 'impute', 'v', 'derived from replace_disguised_missing')) t(\"#\", stage, step, columns, \"from\")"
-)
+def _slot(k: int, stage: str, step: str, columns: str, origin: str, when: str) -> str:
+    return f"SELECT {k} AS k, '{stage} split' AS stage, '{step}' AS step, '{columns}' AS columns, '{origin}' AS \"from\" WHERE EXISTS ({when})"
 
 
-def _pipeline(spark, sf_dir):
-    f = loaded(spark, sf_dir, "d_priority").cache()
+_BLANK = f"SELECT 1 FROM d_priority WHERE lower(trim(v)) IN ({TOKENS})"
+QUERIES["repair_plan"] = _plan
+ORACLE["repair_plan"] = f"WITH d_priority AS ({DIRTY['d_priority']}) SELECT CAST(row_number() OVER (ORDER BY k) AS INT) AS \"#\", stage, step, columns, \"from\" FROM (" + " UNION ALL ".join((
+    _slot(1, "before", "normalise_categories", "v", "whitespace", "SELECT 1 FROM d_priority WHERE v <> trim(v)"),
+    _slot(2, "before", "replace_disguised_missing", "v", "disguised_missing", _BLANK),
+    _slot(3, "before", "drop_duplicate_rows", "(whole table)", "exact_duplicates", "SELECT 1 FROM d_priority GROUP BY v, s HAVING count(*) > 1"),
+    _slot(4, "after", "impute", "v", "derived from replace_disguised_missing", _BLANK),
+)) + ")"
+
+
+@query(
+    "clean_run", "d_priority",
+    "SELECT id AS row_id, s, x, coalesce(v, (SELECT v FROM t WHERE NOT held AND v IS NOT NULL GROUP BY v ORDER BY count(*) DESC, min(id) LIMIT 1)) AS v FROM t",
+)
+def _pipeline(f):
+    f = f.cache()
     done = repair.run(f, planner.build(checks.detect(f, target="s"), target="s"), target="s")
     return done.frame.select(F.col(ROW_ID).alias("row_id"), "s", "x", "v")
 
 
-QUERIES["clean_run"] = _pipeline
+# What the plan does before the split, and the split.
+ORACLE["clean_run"] = ORACLE["clean_run"].replace(") SELECT id AS row_id", (
+    f"), n AS (SELECT id, s, x, CASE WHEN lower(trim(v)) IN ({TOKENS}) THEN NULL ELSE trim(v) END AS v FROM d_priority), u AS (SELECT min(id) AS id, s, x, v FROM n GROUP BY s, x, v), "
+    "r AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY substr(md5(concat(CAST(id AS VARCHAR), ':20260827')), 1, 8), id) AS k, count(*) OVER (PARTITION BY s) AS c FROM u), "
+    "t AS (SELECT *, c > 1 AND k <= round_even(c * 0.2, 0) AS held FROM r) SELECT id AS row_id"
+), 1)
+
+query("drop_columns", "d_dead", "SELECT id AS row_id, name, v FROM d_dead")(
+    lambda f: repair.run(f, planner.Plan([planner.Step("drop_columns", {"columns": ["fixed", "nothing", "never there"]})])).frame.withColumnRenamed(ROW_ID, "row_id")
+)
+query("clean_column_names", "d_balance", "SELECT id AS row_id, x AS \"a b\", v AS c, g AS \"a b__2\" FROM d_balance")(
+    lambda f: repair.clean_column_names(f.toDF(ROW_ID, " a\n b", "c ", "a  b"))[0].withColumnRenamed(ROW_ID, "row_id")
+)
+
+# ---- files
+
+
+def _file(lines: DataFrame, name: str) -> str:
+    """The path of one text file of lines (n, value), in the shared folder that the session names."""
+    import tempfile
+    import uuid
+
+    spark = lines.sparkSession
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("name a shared folder in spark.checkpoint.dir")
+    folder = f"{folder or tempfile.mkdtemp(prefix='quillstone-')}/{name}-{uuid.uuid4().hex}"
+    lines.orderBy("n").select("value").coalesce(1).write.text(folder)
+    paths = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/part-*")
+    found = paths.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(paths)
+    return found[0].getPath().toString()
+
+
+def _lines(f: DataFrame, above: list[str], line) -> DataFrame:
+    """Lines above the table, then one of each row."""
+    head = f.sparkSession.createDataFrame([(i - len(above), x) for i, x in enumerate(above)], "n long, value string")
+    return head.unionByName(f.select(F.col(ROW_ID).alias("n"), line.alias("value")))
+
+
+def _cells(f: DataFrame) -> DataFrame:
+    """A semicolon table with decimal commas below two lines of title."""
+    number = F.replace(F.format_string("%.2f", "x"), F.lit("."), F.lit(","))
+    return _lines(f.filter("x is not null and v is not null"), ["Report", "", "key;amount;segment"], F.concat_ws(";", F.format_string("K%s", ROW_ID), number, "v"))
+
+
+def _read(f: DataFrame, name: str, **how):
+    return read_table(f.sparkSession, _file(_cells(f), name), decimal=",", **how)
+
+
+query("read_delimited", "d_balance", "SELECT concat('K', id) AS key, round(x, 2) AS amount, v AS segment FROM d_balance WHERE x IS NOT NULL AND v IS NOT NULL")(
+    lambda f: _read(f, "table").frame.select("key", F.round("amount", 2).alias("amount"), "segment")
+)
+query("load_summary", "d_balance", "SELECT count(*) AS n_rows, 3 AS n_columns, 'semicolon' AS delimiter, true AS header_row, 2 AS skipped FROM d_balance WHERE x IS NOT NULL AND v IS NOT NULL")(
+    lambda f: (lambda x: f.sparkSession.createDataFrame([(x["rows"], x["columns"], x["delimiter"], x["header_row"], x["skipped_rows"])], "n_rows long, n_columns int, delimiter string, header_row boolean, skipped int"))(_read(f, "table").summary())
+)
+
+
+@query("read_headerless", "d_quantity", "SELECT id AS column_1, CAST(x AS BIGINT) AS column_2 FROM d_quantity")
+def _headerless(f):
+    path = _file(_lines(f, [], F.concat_ws("|", F.col(ROW_ID).cast("string"), F.col("x").cast("bigint").cast("string"))), "numbers")
+    return read_table(f.sparkSession, path, has_header=False).frame.drop(ROW_ID)
+
 
 # ---- features
 
