@@ -377,6 +377,7 @@ def encode(docs: DataFrame, path: str = MODEL) -> DataFrame:
             exact = [None if t is None else t == d for t, d in zip(texts, decoded, strict=True)]
             columns = [piece.column(0), lists(ids), pa.array(decoded, pa.string()), pa.array(exact, pa.bool_())]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "decoded", "exact"])
+        own.older = {}  # a worker outlives its task, and what it holds then is of use to few
 
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text")
     return docs.mapInArrow(run, "doc_id long, ids array<int>, decoded string, exact boolean")
