@@ -14,7 +14,10 @@ on at most `sample` rows outside the held-out fifth; it reads text and lang only
 
 Defined results: null texts and texts without a letter give `und` with score 0; with
 no labelled rows every text does; one known language is given to every text with
-letters, with score 1; rows with a null doc_id are scored and not held out.
+letters, with score 1; rows with a null doc_id are scored and not held out; of codewords of
+equal loss the first language by name is taken; repeated rows score alike; texts of any
+length are read whole; an empty table gives an empty one. Only doc_id, text and lang are
+read, whatever other columns are called.
 """
 
 from __future__ import annotations

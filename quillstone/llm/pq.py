@@ -20,7 +20,13 @@ links, never all pairs. Equal vectors of a label are compared once and counted a
 
 Defined results: null, zero and non-finite vectors, those with a null component or of
 another length than most, and those with a null label link with nothing; so their
-component is their own id. Rows that repeat a vec_id count as vectors of their own.
+component is their own id. Rows that repeat a vec_id count as vectors of their own; those
+with a null vec_id link with nothing and give a null component. Vectors as near to two
+centroids are in the list of the first. An empty table gives an empty one. Only the id,
+vector and label columns are read, whatever other columns are called.
+
+Limit: the sample places at most 4,096 lists, so beyond some millions of vectors a label the
+lists grow with their number, and blocks of a list are compared pair by pair.
 """
 
 from __future__ import annotations

@@ -1,7 +1,7 @@
 """Queries of the operators in this folder over their whole tables.
 
-None of them has a SQL twin: hashes, codes and trained models can't be said in it.
-tests/llm holds each against brute force, an exact round trip or held-out rows.
+Only op4's links have a SQL twin: other hashes, codes and trained models can't be said in
+it. tests/llm holds each against brute force, an exact round trip or held-out rows.
 """
 
 from __future__ import annotations
@@ -26,15 +26,18 @@ def op2_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The predicted language of every document, learnt outside the held-out fifth."""
     docs = table(spark, sf_dir, "documents")
     return langid.predict(docs, langid.train(docs))
 
 
 def op4_pq_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector with its links of cosine 0.98 within its label, and its component."""
     return pq.groups(table(spark, sf_dir, "embeddings"))
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base and added spans of personal data of every document."""
     docs = table(spark, sf_dir, "documents")
     return pii.find(docs, pii.train(docs))
 
@@ -48,6 +51,7 @@ def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's fingerprint of four-word shingles and its component at four bits."""
     found = simhash.groups(table(spark, sf_dir, "documents"))
     return found.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
@@ -65,6 +69,7 @@ def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's quality, learnt from labels outside the held-out fifth."""
     docs = table(spark, sf_dir, "documents")
     return quality.score(docs, quality.train(docs, table(spark, sf_dir, "labels")))
 
@@ -81,4 +86,18 @@ QUERIES = {
     "op9_secrets": op9_secrets,
     "op10_quality": op10_quality,
 }
-ORACLE: dict[str, str] = {}
+#: All pairs of a label by exact cosine, and what each vector can reach over them.
+ORACLE: dict[str, str] = {
+    "op4_pq_dedup": """
+WITH RECURSIVE v AS (
+    SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings
+    WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda y: y IS NULL OR isnan(y) OR isinf(y))) = 0 AND len(list_filter(embedding, lambda y: y <> 0)) > 0
+), pairs AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id WHERE list_cosine_similarity(a.x, b.x) >= 0.98
+), reach AS (
+    SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, p.b FROM reach r JOIN pairs p ON r.b = p.a
+)
+SELECT e.vec_id, (SELECT count(*) FROM pairs p WHERE p.a = e.vec_id) AS n_links, min(r.b) AS component_id, e.vec_id = min(r.b) AS kept
+FROM embeddings e JOIN reach r ON r.a = e.vec_id GROUP BY e.vec_id
+"""
+}

@@ -13,7 +13,11 @@ is lost.
 Defined results: null, empty or blank text has fingerprint zero, and such documents
 link with each other like any others. Copies share a fingerprint and are compared
 once. Rows with a null doc_id get a fingerprint and the component of their equals.
-Only doc_id and text are read, so other columns may have any names.
+Texts of any length are read whole; a bit with as many ones as zeros is 0; an empty table
+gives an empty one. Only doc_id and text are read, so other columns may have any names.
+
+Limit: there are some 335 million keys, so beyond some 10^9 distinct fingerprints a key
+has so many members that they are dealt in several blocks.
 """
 
 from __future__ import annotations

@@ -1,16 +1,16 @@
 """Toxicity by cumulative-link ordinal regression over sparse text features.
 
 A document has the features of its distinct lower-cased words (twice, if it repeats a
-word): the word itself and
-its first 4 to 8 letters. One weight vector w is shared by all ordered
+word): the word itself and its first 4 to 8 letters. One weight vector w is shared by all ordered
 thresholds b1 <= b2 <= ...: P(grade >= k) = sigmoid(x.w - b_k). The output is the
 expected severity, the sum of these probabilities.
 
 Grades. The labels only say toxic or not. A clean row is grade 0; a toxic row is
-grade 1, 2 or 3 by terciles of its share of telling words, where a word tells if its
-smoothed log-odds among the labelled rows is high. Grades so follow from labelled
-rows alone, and thresholds stay ordered by construction (b_k are sums of positive
-steps).
+grade 1, 2 or 3 by terciles of how many telling words it has, where a word tells if its
+smoothed odds among the labelled rows are high. Grades so follow from labelled rows
+alone, and thresholds stay ordered by construction (b_k are sums of positive steps).
+Weights are held at 0 or more: a feature can only speak for toxicity, so that long clean
+documents gather no evidence against a few telling words.
 
 The model is fitted on at most `sample` labelled rows (smallest hash of doc_id) and
 keeps at most `features` features, so what is shipped is bounded. Scoring reads
@@ -18,8 +18,11 @@ whole texts.
 
 Defined results: null, empty and blank texts have no features and get the score of
 the thresholds alone; without toxic labels every document scores 0; rows with null
-labels or without a text are not learnt from (a null text counts as empty);
-repeated rows score alike. Only doc_id and text, doc_id and toxic are read.
+labels are not learnt from (a null text counts as empty); a doc_id with different labels
+counts as toxic; repeated rows score alike; rows with a null doc_id are scored, and kept
+by `reject`; texts of any length are read whole; features of equal strength are kept in the
+order of their letters; an empty table gives an empty one. Only doc_id and text, doc_id and
+toxic are read, whatever other columns are called.
 """
 
 from __future__ import annotations
@@ -137,13 +140,7 @@ def fit(
     w, steps = np.zeros(len(names)), np.array([np.log((1 - base) / base), *([0.0] * (thresholds - 1))])
     moments = [np.zeros_like(w), np.zeros_like(w), np.zeros_like(steps), np.zeros_like(steps)]
     for epoch in range(1, epochs + 1):
-        total = np.bincount(row, w[index], len(docs))
-        bounds = np.cumsum(np.concatenate((steps[:1], np.exp(steps[1:]))))
-        p = 1 / (1 + np.exp(-np.clip(total[:, None] - bounds, -40, 40)))
-        error = (p - above) / len(docs)
-        gw = np.bincount(index, error.sum(axis=1)[row], len(names)) + decay / len(docs) * w
-        later = error[:, ::-1].cumsum(axis=1)[:, ::-1].sum(axis=0)
-        gs = -later * np.concatenate(([1.0], np.exp(steps[1:])))
+        gw, gs, _ = gradient(w, steps, row, index, above, decay)
         for i, (x, g) in enumerate(((w, gw), (steps, gs))):
             m, v = moments[2 * i], moments[2 * i + 1]
             m += 0.1 * (g - m)
@@ -155,6 +152,22 @@ def fit(
     return Model({f: float(x) for f, x, k in zip(names, w, keep, strict=True) if k}, bounds)
 
 
+def gradient(w: np.ndarray, steps: np.ndarray, row: np.ndarray, index: np.ndarray, above: np.ndarray, decay: float):
+    """Gradients of the penalised mean loss by the weights and by the steps between thresholds; and the loss.
+
+    row and index: the documents and features of all entries; above: whether a grade is over each threshold.
+    """
+    n = len(above)
+    total = np.bincount(row, w[index], n)
+    bounds = np.cumsum(np.concatenate((steps[:1], np.exp(steps[1:]))))
+    p = 1 / (1 + np.exp(-np.clip(total[:, None] - bounds, -40, 40)))
+    loss = -(above * np.log(p) + (1 - above) * np.log1p(-p)).sum() / n + decay / n * (w * w).sum() / 2
+    error = (p - above) / n
+    gw = np.bincount(index, error.sum(axis=1)[row], len(w)) + decay / n * w
+    later = error[:, ::-1].cumsum(axis=1)[:, ::-1].sum(axis=0)
+    return gw, -later * np.concatenate(([1.0], np.exp(steps[1:]))), loss
+
+
 def train(docs: DataFrame, labels: DataFrame, *, sample: int = SAMPLE, **how) -> Model:
     return fit(labelled(docs, labels, "toxic", sample, fold=False), **how)
 

@@ -38,6 +38,8 @@ def tables(spark, tmp_path_factory):
     docs += [(2000, None, None, None, None), (2001, "", "en", "", 0)]
     spark.createDataFrame(docs, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{folder}/documents.parquet")
     spark.createDataFrame(items, "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    vectors = [(i, i % 3, [rng.random() for _ in range(8)]) for i in range(60)] + [(100 + i, 0, [1.0] * 7 + [0.01 * i]) for i in range(5)] + [(200, None, [1.0] * 8), (201, 0, None)]
+    spark.createDataFrame(vectors, "vec_id long, label int, embedding array<double>").write.parquet(f"{folder}/embeddings.parquet")
     labels = [(i, 1, int(kind[i] == "toxic")) for i in range(300)]
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
     return folder, docs, kind, items, passage
@@ -68,12 +70,18 @@ def test_decisions_of_all_stages(spark, tables):
     assert min(hits) > 4
 
 
-@pytest.mark.parametrize("name", ["op1_toxicity", "op2_decontaminate", "op6_line_dedup", "op7_simhash", "op8_sentencepiece", "op10_quality"])
-def test_queries_over_documents(spark, tables, name):
+@pytest.mark.parametrize("name", sorted(queries.QUERIES))
+def test_queries(spark, tables, name):
     folder, docs, *_ = tables
     got = queries.QUERIES[name](spark, folder)
+    if name == "op4_pq_dedup":
+        rows = {r.vec_id: r for r in got.collect()}
+        assert len(rows) == 67 and [rows[100 + i].component_id for i in range(5)] == [100] * 5 and rows[100].n_links == 4
+        assert rows[200].component_id == 200 and rows[201].n_links == 0
+        return
     assert "doc_id" in got.columns
-    assert got.select("doc_id").distinct().count() == (len(docs) if name != "op2_decontaminate" else 37)
+    found = got.select("doc_id").distinct().count()
+    assert found == {"op2_decontaminate": 37, "op9_secrets": 0}.get(name, len(docs))
 
 
 def test_stages_on_empty_tables(spark, tables, tmp_path):

@@ -56,3 +56,21 @@ def test_table_and_edge_cases(spark):
     assert None in ids and sum(b for i, _, b in rows if i in ids) <= 2 and len(ids) >= 250
     none = labels.limit(0)
     assert toxicity.reject(docs, none).count() == 304 and toxicity.reject(docs.limit(0), labels).count() == 0
+
+
+def test_gradient_equals_finite_differences():
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    row, index, grade = np.repeat(np.arange(9), 5), rng.integers(0, 12, 45), rng.integers(0, 4, 9)
+    above = (grade[:, None] > np.arange(3)[None, :]).astype(float)
+    w, steps = rng.random(12), rng.normal(size=3)
+    gw, gs, _ = toxicity.gradient(w, steps, row, index, above, 0.1)
+    for x, g in ((w, gw), (steps, gs)):
+        for i in range(len(x)):
+            loss = []
+            for move in (1e-6, -2e-6):
+                x[i] += move
+                loss.append(toxicity.gradient(w, steps, row, index, above, 0.1)[2])
+            x[i] += 1e-6
+            assert abs((loss[0] - loss[1]) / 2e-6 - g[i]) < 1e-6
