@@ -18,7 +18,8 @@ that are no personal data; of these, on at most `most` clusters of at most `wide
 (all of a text is searched, whatever its clusters are). An added span overlaps no base span.
 
 Defined results: null counts as empty; empty texts have no spans; n_email, n_ip,
-n_card and n_phone count all spans, base and added; repeated rows give equal rows; rows
+n_card and n_phone count all spans, base and added, and `base` holds the base ones alone,
+from which op5_pii counts; repeated rows give equal rows; rows
 with a null doc_id give rows with a null doc_id and are not learnt from; texts, clusters and numbers of
 any length are read whole; of segmentations of equal score the first found (by start, then
 kind) is taken; an empty table gives an empty one. Only doc_id and text are read, whatever
@@ -338,22 +339,23 @@ def spans(text: str, field: Field) -> tuple[list, list]:
 
 
 def find(docs: DataFrame, field: Field) -> DataFrame:
-    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans) of every document."""
+    """(doc_id, n_email, n_ip, n_card, n_phone, base_sha256, spans, base) of every document."""
     held = docs.sparkSession.sparkContext.broadcast(field)
-    names = ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"]
+    names = ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "base"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         field = held.value
         for piece in pieces(batches):
-            counts, hashes, texts = [[] for _ in KINDS], [], []
+            counts, hashes, texts, bases = [[] for _ in KINDS], [], [], []
             for text in piece.column(1).to_pylist():
                 own, every = spans(text or "", field)
                 for k in range(OTHER):
                     counts[k].append(sum(x[1] == k for x in every))
-                hashes.append(sha256(shown(own).encode()).hexdigest())
+                bases.append(shown(own))
+                hashes.append(sha256(bases[-1].encode()).hexdigest())
                 texts.append(shown(every))
-            columns = [piece.column(0), *(pa.array(c, pa.int64()) for c in counts), pa.array(hashes, pa.string()), pa.array(texts, pa.string())]
+            columns = [piece.column(0), *(pa.array(c, pa.int64()) for c in counts), *(pa.array(c, pa.string()) for c in (hashes, texts, bases))]
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string"
+    schema = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, base_sha256 string, spans string, base string"
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, schema)

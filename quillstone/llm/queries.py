@@ -37,9 +37,11 @@ def op4_pq_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Base and added spans of personal data of every document."""
+    """Base and added spans of personal data of every document; the counts are of base spans."""
     docs = table(spark, sf_dir, "documents")
-    return pii.find(docs, pii.train(docs))
+    found = pii.find(docs, pii.train(docs))
+    counts = {f"n_{k}": F.regexp_count("base", F.lit(f"{k}:")).cast("long") for k in pii.KINDS}
+    return found.withColumns(counts).drop("base")
 
 
 def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -5,7 +5,7 @@ from hashlib import sha256
 
 import numpy as np
 import pytest
-from quillstone.llm import pii
+from quillstone.llm import pii, queries
 
 PLAIN = {
     0: r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
@@ -122,6 +122,18 @@ def test_table(spark):
     assert pii.train(docs.limit(0)).weights == {}
 
 
+def test_query_counts_base_spans(spark, tmp_path, field, monkeypatch):
+    monkeypatch.setattr(pii, "train", lambda docs: field)
+    rng = random.Random(7)
+    rows = [(i, prose(rng)) for i in range(50)] + [(900 + i, f"call (415) 555-26{i:02} now, bob@mail.example.com") for i in range(20)] + [(999, None), (None, "10.0.0.1")]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in queries.op5_pii(spark, str(tmp_path)).collect()}
+    assert sum("phone:" in got[900 + i].spans for i in range(20)) > 10
+    for i, t in rows:
+        kinds = [k for _, k, _ in plain(t or "")]
+        assert [got[i].n_email, got[i].n_ip, got[i].n_card, got[i].n_phone] == [kinds.count(k) for k in range(4)], t
+
+
 @pytest.mark.parametrize("before", [398, 399, 400, 799, 1200])
 def test_long_clusters_are_decoded_whole(field, before):
     head = "12 " * before
