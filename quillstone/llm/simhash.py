@@ -54,6 +54,11 @@ def fingerprint(text: str | None, words: int = 4, seed: int = 42) -> int:
         starts = np.concatenate(([0], ends[:-words])).tolist()
         stops = (ends[words - 1 :] - 1).tolist()
         hashes = np.array([digest(joined[s:e], seed) for s, e in zip(starts, stops, strict=True)], dtype=np.uint64)
+    return majority(hashes)
+
+
+def majority(hashes: np.ndarray) -> int:
+    """The number whose bits are 1 where they are in over half the hashes."""
     ones = np.zeros(64, dtype=np.int64)
     for at in range(0, len(hashes), 65_536):
         part = hashes[at : at + 65_536].astype("<u8").view(np.uint8).reshape(-1, 8)
