@@ -115,3 +115,18 @@ def test_dictionary_is_learnt(spark):
     words = secrets.dictionary(docs).split("|")
     assert "winter" in words and "river" in words and "seldom" not in words and words == sorted(words, key=lambda w: (-len(w), w))
     assert set(secrets.dictionary(docs.limit(0)).split("|")) == set(secrets.DICTIONARY.split("|"))
+
+
+def test_all_documents_are_learnt_from(spark):
+    """The last documents by hash, beyond any bound, count for the dictionary and the findings."""
+    last = spark.range(2500).selectExpr("id", "xxhash64(id) h").orderBy("h", "id").tail(3)
+    odd = {r.id: f"Quixotic word and token = '{KEY}' here" for r in last}
+    docs = frame(spark, [(i, odd.get(i, "plain words in a row")) for i in range(2500)])
+    assert "quixotic" in secrets.dictionary(docs).split("|")
+    assert [(r.value, r.secret) for r in secrets.labelled(docs).collect()] == [(KEY, 1)] * 3
+
+
+def test_findings_of_equal_features_are_folded(spark):
+    known = secrets.examples(spark, 20)
+    rows = secrets.folded(known.unionByName(known)).collect()
+    assert sum(r.weight for r in rows) == 2 * known.count() and len(rows) <= known.count()
