@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 from collections.abc import Iterator
 
@@ -35,10 +36,18 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def give_back() -> None:
+    """Return to the system what this process has freed: a worker outlives its task, and would hold it until it ends."""
+    pa.default_memory_pool().release_unused()
+    if trim := getattr(ctypes.CDLL(None), "malloc_trim", None):
+        trim(0)
+
+
 def pieces(batches: Iterator[pa.RecordBatch], size: int = PIECE, most: int | None = None) -> Iterator[pa.RecordBatch]:
     """The batches in pieces of few rows, so that long texts stay few in memory.
 
-    With most, a piece ends with the row that brings it to so many bytes.
+    With most, a piece ends with the row that brings it to so many bytes. Behind the last
+    piece, memory that the task has freed is given back.
     """
     for batch in batches:
         at = 0
@@ -52,6 +61,8 @@ def pieces(batches: Iterator[pa.RecordBatch], size: int = PIECE, most: int | Non
                 piece = piece.slice(0, low)
             yield piece
             at += piece.num_rows
+        batch = piece = None
+    give_back()
 
 
 def held_out(column: str = "doc_id"):

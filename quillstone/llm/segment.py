@@ -39,15 +39,15 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from quillstone.llm.common import pieces
+from quillstone.llm.common import give_back, pieces
 
 SPACE = "▁"
 #: Vocabulary file; its path is a parameter of every function here.
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 #: Segments that a worker remembers (twice), their letters, pairs of pieces, and letters of new segments that are matched at once.
-MEMO, MEMO_LETTERS, PAIRS, AT_ONCE = 250_000, 4_000_000, 1_000_000, 400_000
+MEMO, MEMO_LETTERS, PAIRS, AT_ONCE = 250_000, 4_000_000, 1_000_000, 100_000
 #: Rows and bytes of text that are encoded together.
-ROWS, BYTES = 1_024, 4_000_000
+ROWS, BYTES = 1_024, 1_000_000
 
 
 class Pieces:
@@ -378,6 +378,7 @@ def encode(docs: DataFrame, path: str = MODEL) -> DataFrame:
             columns = [piece.column(0), lists(ids), pa.array(decoded, pa.string()), pa.array(exact, pa.bool_())]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "ids", "decoded", "exact"])
         own.older = {}  # a worker outlives its task, and what it holds then is of use to few
+        give_back()
 
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text")
     return docs.mapInArrow(run, "doc_id long, ids array<int>, decoded string, exact boolean")

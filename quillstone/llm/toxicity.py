@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import labelled, pieces
+from quillstone.llm.common import give_back, labelled, pieces
 
 WORD = re.compile(r"\w+")
 #: Labelled rows that the model may learn from; features that it may keep.
@@ -192,6 +192,8 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             p = model.at_least(np.array(totals))
             columns = [piece.column(0), pa.array(p.sum(axis=1)), pa.array(p[:, 0]), pa.array((p >= 0.5).sum(axis=1), pa.int32())]
             yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "severity", "p_toxic", "grade"])
+        known.clear()
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SCHEMA)
 

@@ -1,5 +1,7 @@
 import os
 import random
+import subprocess
+import sys
 
 import pytest
 from quillstone.llm import segment
@@ -52,3 +54,30 @@ def test_long_runs_of_blanks_equal_the_library(library):
     texts = [f"{blank * n}{word * 250}" for n in range(1, 65) for blank in (" ", segment.SPACE) for word in ("y", "aB3")] + [" " * n for n in range(200, 421)]
     own = segment.Pieces(segment.MODEL)
     assert own.encode(texts) == [library.encode(t) for t in texts]
+
+
+HELD = """
+import random, re
+import pyarrow as pa
+from quillstone.llm import segment
+from quillstone.llm.common import pieces
+
+def held():
+    return sum(map(int, re.findall(r"\\nPss_(?:Anon|Shmem):\\s+(\\d+)", open("/proc/self/smaps_rollup").read()))) / 1024
+
+own, rng, most = segment.load(segment.MODEL), random.Random(3), 0
+began = held()
+texts = pa.array([" ".join("".join(rng.choices("abcdeilmnorstu", k=8)) for _ in range(350)) for _ in range(3000)])
+for piece in pieces(iter([pa.record_batch([texts], names=["text"])]), segment.ROWS, segment.BYTES):
+    own.coded(piece.column(0).to_pylist())
+    most = max(most, held() - began)
+own.known, own.older = {}, {}
+print(most, held() - began)
+"""
+
+
+@pytest.mark.skipif(not os.path.exists("/proc/self/smaps_rollup"), reason="needs Linux")
+def test_a_worker_gives_back_what_its_task_freed():
+    run = subprocess.run([sys.executable, "-c", HELD], capture_output=True, text=True, check=True, cwd=os.path.dirname(os.path.dirname(os.path.dirname(__file__))))
+    most, left = map(float, run.stdout.split())
+    assert most < 220 and left < 140
