@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import tempfile
 from collections.abc import Iterator
 
@@ -12,6 +13,8 @@ from pyspark.sql import functions as F
 
 #: Rows of a piece of an Arrow batch whose texts are held as Python strings at once.
 PIECE = 256
+#: Bits that tell which texts are wanted.
+WANTED = 1 << 24
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -36,6 +39,28 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def clear(spark: SparkSession) -> None:
+    """Have the driver collect garbage: only then Spark deletes files of shuffles and checkpoints that nothing refers to.
+
+    Python first, as its handles of Java objects are in cycles.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
+def parted(rows: DataFrame, wanted: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """rows whose doc_id is not in wanted, which should be cut; and the others, with some that aren't in it either.
+
+    Bits of hashes of the wanted ids, of which there are as many at any size, tell rows that
+    are not among them, so that only the others need be shuffled to be told by the ids themselves.
+    """
+    at = lambda: F.pmod(F.xxhash64(F.col("doc_id").cast("long")), F.lit(WANTED))
+    words = wanted.select(at().alias("at")).groupBy(F.shiftright("at", 6).alias("__word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(at & 63 as int))")).alias("__bits"))
+    marked = rows.withColumn("__at", at()).withColumn("__word", F.shiftright("__at", 6)).join(F.broadcast(words), "__word", "left")
+    marked = marked.withColumn("__may", F.coalesce(F.expr("shiftrightunsigned(__bits, cast(__at & 63 as int)) & 1L"), F.lit(0)) == 1)
+    return marked.filter(~F.col("__may")).select(*rows.columns), marked.filter("__may").select(*rows.columns)
+
+
 def give_back() -> None:
     """Return to the system what this process has freed: a worker outlives its task, and would hold it until it ends."""
     pa.default_memory_pool().release_unused()

@@ -36,10 +36,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quillstone.llm.common import cut
+from quillstone.llm.common import clear, cut, parted
 
 #: Most words of a line; words of a long line before it may be cut behind any short word; words from which a line is a fingerprint on its own.
 LONGEST, UNCUT, PLENTY = 10, 2, 4
+#: Bits behind the number of a line for words, half of them of the line and half of its window.
+AT = 16
 #: A word and the blanks behind it, if no line ends there: with a sentence, a physical line, or before a capitalised word and three others.
 _WORD = r"\S++(?<![^\p{Lu}\p{P}][.!?])[ \t]++(?!\p{Lu}\p{Ll}\S*+(?: \p{Ll}\S*+){3})"
 #: A line, its words as a group, or blanks alone.
@@ -57,49 +59,64 @@ def _lines(text: Column, group: int = 0) -> Column:
 
 
 def _values(bare: Column) -> Column:
-    """Of each line: whether it has few words, 54 bits of its hash, and its words (at most LONGEST), from the high bits to the low ones."""
-    few, middle = F.lit(1 << 62), F.lit((1 << 62) - 256)
+    """Of each line: whether it has few words, 54 bits of its hash, and its words (at most LONGEST; more if blanks follow each other), from the high bits to the low ones."""
+    # By the number of words, so that it is worked out once.
+    low = F.array(*(F.lit(n + (n < PLENTY) * (1 << 62)).cast("long") for n in range(LONGEST + 1)))
 
     def value(line: Column) -> Column:
-        words = F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
-        return F.xxhash64(line).bitwiseAND(middle).bitwiseOR(F.when(words < PLENTY, words + few).otherwise(F.least(words, F.lit(LONGEST))))
+        blanks = F.octet_length(line) - F.octet_length(F.replace(F.replace(line, F.lit(" "), F.lit("")), F.lit("\t"), F.lit("")))
+        return F.xxhash64(line).bitwiseAND(F.lit((1 << 62) - 256)).bitwiseOR(F.get(low, F.least(blanks + 1, F.lit(LONGEST))))
 
     return F.transform(bare, value)
 
 
 def _fingerprints(v: Column, window: int) -> Column:
     """For each window the least of its lines, or null if that is the one of the window before."""
+    n = F.size(v) - (window - 1)
+    least = F.slice(v, F.lit(1), n)
+    for k in range(1, window):
+        least = F.zip_with(least, F.slice(v, F.lit(k + 1), n), lambda a, b: F.least(a, b))
 
-    def at(i: Column) -> Column:
-        return F.get(v, i)
-
-    def least(i: Column) -> Column:
-        return F.least(*(at(i + k) for k in range(window))) if window > 1 else at(i)
-
-    def mark(i: Column) -> Column:
-        def kept(m: Column) -> Column:
+    def marks(least: Column) -> Column:
+        def mark(m: Column, i: Column) -> Column:
             # Of equal lines the last one is the least, so a line that comes in anew counts.
-            alone = F.when((i == 0) | (m != least(i - 1)) | (m == at(i + (window - 1))), m)
-            return F.when(m < F.lit(1 << 62), alone).otherwise(F.xxhash64(*(at(i + k) for k in range(window))))
+            alone = F.when((m != F.get(least, i - 1)) | (i == 0) | (m == F.get(v, i + (window - 1))), m)
+            return F.when(m < F.lit(1 << 62), alone).otherwise(F.xxhash64(*(F.get(v, i + k) for k in range(window))))
 
-        return _let(least(i), kept)
+        return F.transform(least, mark)
 
-    return F.transform(F.sequence(F.lit(0), F.size(v) - window), mark)
+    return _let(least, marks)
 
 
 def _windows(v: Column, places: Column, window: int, reach: int) -> Column:
-    """(h, at) of the windows around places: a hash and the first line."""
+    """(h, at) of the windows around places: a hash; and the first line, with its words and those of the window in AT bits behind it."""
 
     def near(at: Column) -> Column:
         return F.sequence(F.greatest(at - reach, F.lit(0)), F.least(at + reach, F.size(v) - window))
 
     def key(i: Column) -> Column:
         lines = [F.get(v, i + k) for k in range(window)]
-        return F.struct(F.xxhash64(*lines).alias("h"), i.alias("at"))
+        words = [x.bitwiseAND(255) for x in lines]
+        at = F.shiftleft(i.cast("long"), AT) + F.shiftleft(words[0], AT // 2) + sum(words[1:], words[0])
+        return F.struct(F.xxhash64(*lines).alias("h"), at.alias("at"))
 
     return F.transform(F.array_distinct(F.flatten(F.transform(places, near))), key)
 
 
+def _longest(hits: Column, window: int) -> Column:
+    """The words of the longest run of windows, or somewhat more where windows skip lines."""
+    start = F.struct(F.lit(0).cast("long").alias("most"), F.lit(0).cast("long").alias("now"), F.lit(None).cast("long").alias("last"))
+
+    def step(so: Column, x: Column) -> Column:
+        all_, ago = x.bitwiseAND((1 << AT // 2) - 1), F.shiftright(x, AT) - F.shiftright(so["last"], AT)
+        # Of the window before, what this one has no part in: its first line, or at most all of it.
+        before = F.when(ago == 1, F.shiftright(so["last"], AT // 2)).otherwise(so["last"]).bitwiseAND((1 << AT // 2) - 1)
+        now = F.when(ago <= window, so["now"] + before).otherwise(F.lit(0).cast("long"))
+        return F.struct(F.greatest(so["most"], now + all_).alias("most"), now.alias("now"), x.alias("last"))
+
+    return F.aggregate(F.array_sort(hits), start, step)["most"]
+
+
 def _merged(spans: Column) -> Column:
     """Sorted spans (s, e) with touching and overlapping ones made one."""
     kind = "array<struct<s:int,e:int>>"
@@ -134,22 +151,37 @@ def runs(docs: DataFrame, *, window: int = 2, reach: int = 1, min_words: int = 2
     marks = marks.withColumn("h", F.shiftrightunsigned("h", 8).bitwiseAND((1 << 48) - 1))
     # Cut, so that the joins below shuffle both sides and a crowded key can be split.
     shared = cut(marks.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h"))
+    clear(docs.sparkSession)
     places = marks.join(shared, "h").groupBy("doc").agg(F.collect_set("at").alias("ats"))
-    near = values.select(*own, "v").join(places, "doc").join(copies.select(own), own, "left_anti")
+    near = values.select(*own, "v").join(places, "doc")
+    # By the id alone, so that what is dealt by it needn't be shuffled again.
+    near = near.join(copies.select(F.col("doc").alias("copy"), F.col("t").alias("ct")), (F.col("doc") == F.col("copy")) & (F.col("t").cast("long") - F.col("ct") == 0), "left_anti")
     near = cut(near.select(*own, _windows(F.col("v"), F.col("ats"), window, reach).alias("k")))
+    del values, texts, firsts, marks, shared, places
+    clear(docs.sparkSession)
     keys = near.select(*own, F.explode("k").alias("k")).select("k.h", *own, "k.at")
     place = F.struct(*own, "at")
     first = cut(keys.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first != last").drop("last"))
+    clear(docs.sparkSession)
     later = keys.join(first, "h").filter(F.col("first") < place).groupBy(own).agg(F.collect_set("at").alias("hits"))
 
+    # What has too few words in any run stays as it is, and its text isn't looked at.
+    later = later.filter(_longest(F.col("hits"), window) >= min_words).withColumn("hits", F.transform("hits", lambda x: F.shiftright(x, AT).cast("int")))
     gone = later.withColumn("whole", F.lit(None).cast("int")).unionByName(copies.filter(F.col("words") >= min_words).select(*own, F.lit(None).cast("array<int>").alias("hits"), F.col("words").alias("whole")))
-    joined = docs.withColumns({f"__{c}": x for c, x in zip(own, keyed, strict=True)})
+    gone = cut(gone)
+    del near, keys, first, later, copies
+    clear(docs.sparkSession)
+    # Only texts that change are shuffled.
+    same, others = parted(docs, gone.select(F.col("doc").alias("doc_id")))
+    joined = others.withColumns({f"__{c}": x for c, x in zip(own, keyed, strict=True)})
     joined = joined.join(gone.withColumnsRenamed({c: f"__{c}" for c in own}), [f"__{c}" for c in own], "left").drop(*(f"__{c}" for c in own))
 
     def found(lines: Column) -> Column:
-        whole = F.array(F.struct(F.lit(0).alias("s"), (F.size(lines) - 1).alias("e"), F.col("whole").alias("words")))
+        words = F.regexp_count(F.array_join(lines, ""), F.lit(r"\S++"))
+        whole = F.filter(F.array(F.struct(F.lit(0).alias("s"), (F.size(lines) - 1).alias("e"), words.alias("words"))), lambda x: x["words"] >= min_words)
         return _let(F.when(F.col("whole").isNotNull(), whole).otherwise(_repeated(F.col("hits"), lines, window, min_words)), lambda r: F.struct(r.alias("runs"), kept_text(lines, r).alias("left")))
 
+    joined = joined.unionByName(same.withColumns({"hits": F.lit(None).cast("array<int>"), "whole": F.lit(None).cast("int")}))
     joined = joined.withColumn("hits", F.when(F.col("hits").isNotNull() | F.col("whole").isNotNull(), _let(_lines(F.col("text")), found)))
     none = F.array().cast("array<struct<s:int,e:int,words:int>>")
     return joined.withColumns({"runs": F.coalesce("hits.runs", none), "left": F.coalesce("hits.left", "text")}).drop("hits", "whole")
@@ -184,7 +216,7 @@ def kept_text(lines: Column, runs: Column) -> Column:
 def dedup(docs: DataFrame, **how) -> DataFrame:
     """docs with later repeated runs of lines deleted from text; n_chars, if there, follows."""
     own = docs.columns
-    renamed = {c: f"__own_{c}" for c in ("left", "runs", "hits") if c in own}
+    renamed = {c: f"__own_{c}" for c in ("left", "runs", "hits", "whole") if c in own}
     found = runs(docs.withColumnsRenamed(renamed), **how)
     if "n_chars" in own:
         n = F.when(F.size("runs") > 0, F.length("left").cast("long")).otherwise(F.col("n_chars"))

@@ -145,3 +145,35 @@ def test_lines_in_other_contexts_hide_nothing(spark):
     texts = [*early, (50, "\n".join(run)), (60, f"Own first.\n{chr(10).join(run)}\nOwn last.")]
     got = dedup(spark, texts)
     assert got == dict(texts) | {60: "Own first.\nOwn last."}
+
+
+def test_only_texts_that_change_are_shuffled(spark, monkeypatch):
+    rng = random.Random(41)
+    line, run = "Some words that very many of these texts have. And more of them here.", " ".join(sentence(rng) for _ in range(6))
+    texts = [(i, f"{sentence(rng)} {line} {sentence(rng)} {run if i in (3, 40) else sentence(rng)}") for i in range(60)]
+    seen, parted = [], linededup.parted
+    monkeypatch.setattr(linededup, "parted", lambda docs, wanted: seen.extend(r.doc_id for r in wanted.collect()) or parted(docs, wanted))
+    got = dedup(spark, texts)
+    assert {i for i, t in texts if got[i] != t} == set(seen) == {40}
+
+
+def test_longest_run_of_windows(spark):
+    rng = random.Random(42)
+    for window in (1, 2, 3):
+        words = [rng.randint(1, 10) for _ in range(60)]
+        at = sorted(rng.sample(range(60 - window), 25))
+        hits = [(i << linededup.AT) + (words[i] << linededup.AT // 2) + sum(words[i : i + window]) for i in at]
+        lines = {i + k for i in at for k in range(window)}
+        runs, now = [], 0
+        for i in range(61):
+            now = now + words[i] if i in lines else runs.append(now) or 0
+        got = spark.createDataFrame([(hits,)], "hits array<long>").select(linededup._longest(F.col("hits"), window)).first()[0]
+        assert got == max(runs) if window < 3 else got >= max(runs)
+
+
+def test_words_behind_tabs_and_columns_of_any_name(spark):
+    words = words_of(random.Random(43), 30)
+    few = "  ".join(words[:19])
+    rows = [(i, t, 7) for i, t in enumerate(["\t".join(words)] * 2 + [few] * 2)]
+    got = {r.doc_id: (r.text, r.whole) for r in linededup.dedup(spark.createDataFrame(rows, "doc_id long, text string, whole int")).collect()}
+    assert got == {0: ("\t".join(words), 7), 1: ("", 7), 2: (few, 7), 3: (few, 7)}
