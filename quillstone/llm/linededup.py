@@ -42,10 +42,13 @@ from quillstone.llm.common import clear, cut, parted
 LONGEST, UNCUT, PLENTY = 10, 2, 4
 #: Bits behind the number of a line for words, half of them of the line and half of its window.
 AT = 16
+# Java runs a greedy class in an atomic group in one loop, but steps through `\S++` and `\S{3,4}` by calls; and few words end with a mark, so that is asked before what stands before it.
+_SEEN = r"[^ \t\n\x0B\f\r]"
+_REST = rf"\p{{Ll}}(?>{_SEEN}*)"
 #: A word and the blanks behind it, if no line ends there: with a sentence, a physical line, or before a capitalised word and three others.
-_WORD = r"\S++(?<![^\p{Lu}\p{P}][.!?])[ \t]++(?!\p{Lu}\p{Ll}\S*+(?: \p{Ll}\S*+){3})"
+_WORD = rf"(?>{_SEEN}+)(?<![.!?](?<=[^\p{{Lu}}\p{{P}}].))(?>[ \t]+)(?!\p{{Lu}}{_REST} {_REST} {_REST} \p{{Ll}})"
 #: A line, its words as a group, or blanks alone.
-PIECE = rf"\s*+((?:{_WORD}){{0,{UNCUT}}}+(?:(?!\S{{3,4}}\s){_WORD}){{0,{LONGEST - UNCUT - 1}}}+\S++)\s*+|\s++"
+PIECE = rf"(?>\s*)((?:{_WORD}){{0,{UNCUT}}}+(?:(?!{_SEEN * 4}?\s){_WORD}){{0,{LONGEST - UNCUT - 1}}}+(?>{_SEEN}+))(?>\s*)|\s++"
 
 
 def _let(value: Column, body) -> Column:
@@ -64,28 +67,33 @@ def _values(bare: Column) -> Column:
     low = F.array(*(F.lit(n + (n < PLENTY) * (1 << 62)).cast("long") for n in range(LONGEST + 1)))
 
     def value(line: Column) -> Column:
-        blanks = F.octet_length(line) - F.octet_length(F.replace(F.replace(line, F.lit(" "), F.lit("")), F.lit("\t"), F.lit("")))
+        # Few lines have tabs, and to look for one costs less than to replace none.
+        plain = F.when(F.contains(line, F.lit("\t")), F.replace(line, F.lit("\t"), F.lit(" "))).otherwise(line)
+        blanks = F.octet_length(line) - F.octet_length(F.replace(plain, F.lit(" "), F.lit("")))
         return F.xxhash64(line).bitwiseAND(F.lit((1 << 62) - 256)).bitwiseOR(F.get(low, F.least(blanks + 1, F.lit(LONGEST))))
 
     return F.transform(bare, value)
 
 
-def _fingerprints(v: Column, window: int) -> Column:
-    """For each window the least of its lines, or null if that is the one of the window before."""
-    n = F.size(v) - (window - 1)
-    least = F.slice(v, F.lit(1), n)
-    for k in range(1, window):
-        least = F.zip_with(least, F.slice(v, F.lit(k + 1), n), lambda a, b: F.least(a, b))
+def _fingerprints(values: DataFrame, window: int) -> DataFrame:
+    """(doc, at, h): for each window of values' v the least of its lines, unless that is the one of the window before.
 
-    def marks(least: Column) -> Column:
-        def mark(m: Column, i: Column) -> Column:
-            # Of equal lines the last one is the least, so a line that comes in anew counts.
-            alone = F.when((m != F.get(least, i - 1)) | (i == 0) | (m == F.get(v, i + (window - 1))), m)
-            return F.when(m < F.lit(1 << 62), alone).otherwise(F.xxhash64(*(F.get(v, i + k) for k in range(window))))
+    By a row for each line instead of functions over arrays, as Spark compiles only the former.
+    """
+    at = F.col("at")
 
-        return F.transform(least, mark)
+    def lines(first: Column) -> list[Column]:
+        return [F.get("v", first + k) for k in range(window)]
 
-    return _let(least, marks)
+    def least(of: list[Column]) -> Column:
+        return F.least(*of) if window > 1 else of[0]
+
+    rows = values.select("doc", "v", F.posexplode("v").alias("at", "line")).filter(at <= F.size("v") - window)
+    rows = rows.withColumn("m", least(lines(at)))
+    # Of equal lines the last one is the least, so a line that comes in anew counts.
+    alone = F.when((at == 0) | (F.col("m") != least(lines(at - 1))) | (F.col("m") == F.get("v", at + (window - 1))), F.col("m"))
+    h = F.when(F.col("m") < F.lit(1 << 62), alone).otherwise(F.xxhash64(*lines(at)))
+    return rows.select("doc", "at", h.alias("h")).filter("h is not null")
 
 
 def _windows(v: Column, places: Column, window: int, reach: int) -> Column:
@@ -146,13 +154,14 @@ def runs(docs: DataFrame, *, window: int = 2, reach: int = 1, min_words: int = 2
     firsts = cut(texts.groupBy("t", "u").agg(F.min("doc").alias("first"), F.max("doc").alias("last")).filter("first != last").drop("last"))
     copies = cut(texts.join(firsts, ["t", "u"]).filter("doc != first").select(*own, "words").distinct())
 
-    marks = values.select("doc", F.posexplode(_fingerprints(F.col("v"), window)).alias("at", "h")).filter("h is not null")
+    marks = _fingerprints(values, window)
     # Six bytes do: two fingerprints taken for one are told apart by their windows, and shuffles are smaller.
     marks = marks.withColumn("h", F.shiftrightunsigned("h", 8).bitwiseAND((1 << 48) - 1))
     # Cut, so that the joins below shuffle both sides and a crowded key can be split.
     shared = cut(marks.groupBy("h").agg(F.count(F.lit(1)).alias("n")).filter("n > 1").select("h"))
     clear(docs.sparkSession)
-    places = marks.join(shared, "h").groupBy("doc").agg(F.collect_set("at").alias("ats"))
+    # One side of these joins has each key once, so a table of its rows does, and the other side needn't be sorted.
+    places = marks.join(shared.hint("shuffle_hash"), "h").groupBy("doc").agg(F.collect_set("at").alias("ats"))
     near = values.select(*own, "v").join(places, "doc")
     # By the id alone, so that what is dealt by it needn't be shuffled again.
     near = near.join(copies.select(F.col("doc").alias("copy"), F.col("t").alias("ct")), (F.col("doc") == F.col("copy")) & (F.col("t").cast("long") - F.col("ct") == 0), "left_anti")
@@ -163,7 +172,7 @@ def runs(docs: DataFrame, *, window: int = 2, reach: int = 1, min_words: int = 2
     place = F.struct(*own, "at")
     first = cut(keys.groupBy("h").agg(F.min(place).alias("first"), F.max(place).alias("last")).filter("first != last").drop("last"))
     clear(docs.sparkSession)
-    later = keys.join(first, "h").filter(F.col("first") < place).groupBy(own).agg(F.collect_set("at").alias("hits"))
+    later = keys.join(first.hint("shuffle_hash"), "h").filter(F.col("first") < place).groupBy(own).agg(F.collect_set("at").alias("hits"))
 
     # What has too few words in any run stays as it is, and its text isn't looked at.
     later = later.filter(_longest(F.col("hits"), window) >= min_words).withColumn("hits", F.transform("hits", lambda x: F.shiftright(x, AT).cast("int")))

@@ -177,3 +177,42 @@ def test_words_behind_tabs_and_columns_of_any_name(spark):
     rows = [(i, t, 7) for i, t in enumerate(["\t".join(words)] * 2 + [few] * 2)]
     got = {r.doc_id: (r.text, r.whole) for r in linededup.dedup(spark.createDataFrame(rows, "doc_id long, text string, whole int")).collect()}
     assert got == {0: ("\t".join(words), 7), 1: ("", 7), 2: (few, 7), 3: (few, 7)}
+
+
+def test_lines_are_those_of_the_plain_pattern(spark):
+    word = r"\S++(?<![^\p{Lu}\p{P}][.!?])[ \t]++(?!\p{Lu}\p{Ll}\S*+(?: \p{Ll}\S*+){3})"
+    plain = rf"\s*+((?:{word}){{0,2}}+(?:(?!\S{{3,4}}\s){word}){{0,7}}+\S++)\s*+|\s++"
+    rng = random.Random(44)
+    bits = "a of the four Five SIX É Été \U0001f600 \U0001f600. A. a. b! U.S. ... ? ab, cd efg hijk lmnop".split() + [" ", "  ", "\t", "\n", "\x0b", "\r\n", " ", ""]
+    texts = ["".join(x + rng.choice(["", " ", " ", " ", "\t"]) for x in rng.choices(bits, k=rng.randint(0, 60))) for _ in range(600)]
+    found = frame(spark, enumerate([*texts, ".", "! Ab cd ef gh ij"])).select("text", *(F.regexp_extract_all("text", F.lit(plain), F.lit(k)).alias(f"p{k}") for k in (0, 1)), *(linededup._lines(F.col("text"), k).alias(f"l{k}") for k in (0, 1)))
+    assert all((r.p0, r.p1) == (r.l0, r.l1) for r in found.collect())
+
+
+@pytest.mark.parametrize("window", [1, 2, 3])
+def test_fingerprints_are_the_least_of_each_window(spark, window):
+    rng, few = random.Random(45), 1 << 62
+    rows = [(i, [rng.randrange(9) + rng.choice([0, 0, few]) for _ in range(rng.randint(window, 40))]) for i in range(50)]
+    values = spark.createDataFrame(rows, "doc long, v array<long>")
+    want = set()
+    for doc, v in rows:
+        for at in range(len(v) - window + 1):
+            m = min(v[at : at + window])
+            if m >= few:
+                want.add((doc, at, None))  # a hash of the window
+            elif not at or m != min(v[at - 1 : at - 1 + window]) or m == v[at + window - 1]:
+                want.add((doc, at, m))
+    got = linededup._fingerprints(values, window).collect()
+    assert {(r.doc, r.at, r.h if 0 <= r.h < few and r.h < 9 else None) for r in got} == want and len(got) == len(want)
+
+
+def test_fingerprints_are_compiled_and_joined_without_sorting(spark, monkeypatch):
+    rng = random.Random(46)
+    run = " ".join(sentence(rng) for _ in range(6))
+    plans, cut = [], linededup.cut
+    monkeypatch.setattr(linededup, "cut", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or cut(df))
+    got = dedup(spark, [(i, f"{sentence(rng)} {run} {sentence(rng)}") for i in range(4)])
+    assert sum(run in t for t in got.values()) == 1
+    # Functions over arrays run uncompiled, and a Generate that holds one does too.
+    assert not any("Generate" in line and "lambda" in line for p in plans for line in p.splitlines())
+    assert sum("ShuffledHashJoin" in p for p in plans) == 2
